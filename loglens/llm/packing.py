@@ -14,6 +14,7 @@ are packed as separate documents; an empty table gives no rows; other columns of
 from __future__ import annotations
 
 import base64
+import functools
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -101,11 +102,13 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return placed
 
 
+@functools.lru_cache(maxsize=2)
 def bpe_encoder(json_path: str, ranks_path: str, pattern: str) -> Callable[[list[str]], list[list[int]]]:
     """Encoder for a byte-level BPE stored both as a tokenizer file and as a rank table.
 
     The rank table gives the same ids several times faster; a text that holds the string of an added token
-    goes to the tokenizer file itself, which reads such a string as one token.
+    goes to the tokenizer file itself, which reads such a string as one token.  A worker keeps its encoder for
+    all the tasks that it runs.
     """
     import json
 
