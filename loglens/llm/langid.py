@@ -134,15 +134,16 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
     return Profiles(languages, grams, ranks, size)
 
 
-def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns of every row, with lang_pred and score."""
+def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The ``keep`` columns of every row, with lang_pred and score under the names ``into``."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)  # at most languages x size entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "_text"):
-            lang, score = shared.value.predict(part.column("_text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
-
-    own = docs.select(*(F.col(c) for c in keep), F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
-    return own.mapInArrow(run, f"{schema}, lang_pred string, score double")
+        for part in chunks(batches, source):
+            lang, score = shared.value.predict(part.column(source).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score)], [*keep, *into])
+
+    own = docs.select(*(F.col(f"`{c}`") for c in keep), *([] if text_col in keep else [F.col(text_col).cast("string").alias("_text")]))
+    source = text_col if text_col in keep else "_text"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[: len(keep)])
+    return own.mapInArrow(run, f"{schema}, `{into[0]}` string, `{into[1]}` double")

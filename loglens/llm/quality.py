@@ -174,15 +174,16 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     return train(x, got["label"].to_numpy(), vectors)
 
 
-def classify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
-    """The ``keep`` columns of every row, with score and predicted (1 if score >= threshold)."""
+def classify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD, into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The ``keep`` columns of every row, with score and predicted (1 if score >= threshold) under the names ``into``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "_text"):
-            score = shared.value.score(pooled(*text_bytes(part.column("_text")), shared.value.vectors).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
-
-    own = docs.select(*(F.col(c) for c in keep), F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
-    return own.mapInArrow(run, f"{schema}, score double, predicted int")
+        for part in chunks(batches, source):
+            score = shared.value.score(pooled(*text_bytes(part.column(source)), shared.value.vectors).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*keep, *into])
+
+    own = docs.select(*(F.col(f"`{c}`") for c in keep), *([] if text_col in keep else [F.col(text_col).cast("string").alias("_text")]))
+    source = text_col if text_col in keep else "_text"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[: len(keep)])
+    return own.mapInArrow(run, f"{schema}, `{into[0]}` double, `{into[1]}` int")

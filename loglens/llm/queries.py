@@ -7,21 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, packing, quality
+from . import decontam, langid, licenses, neardup, pipeline_stages, quality
 from ._common import table
-
-#: Tokens of a training sequence, and the id that closes every document.
-SEQUENCE, END_ID = 1024, 2
-
-
-def remainder(column: str, buckets: int) -> F.Column:
-    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % buckets
+from .pipeline_stages import remainder
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(remainder("doc_id", 5) != 0)
-    model = quality.fit(docs.filter(remainder("doc_id", 5) != 0).join(labels, "doc_id"))
+    model = pipeline_stages.fit_quality(docs, table(spark, sf_dir, "labels"))
     scored = quality.classify(docs, model)
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
@@ -38,14 +31,21 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers as P
+    return pipeline_stages.pack(spark, table(spark, sf_dir, "documents"), sf_dir)
+
 
-    encoder = packing.bpe(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    return packing.pack_documents(table(spark, sf_dir, "documents"), encoder, SEQUENCE, END_ID)
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    leaks = decontam.mark_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak"))
+    return leaks.select("doc_id", "leak.item_id", "leak.edits", "leak.start", "leak.length")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}  # opN_<name>, as defined above
 
 
 def oracle_sql() -> dict[str, str]:
