@@ -27,7 +27,7 @@ def remainder(column: str, buckets: int) -> F.Column:
 def fit_quality(docs: DataFrame, labels: DataFrame) -> quality.Model:
     """The quality model from the labelled rows outside the held-out fold."""
     own = labels.select("doc_id", "quality").filter(remainder("doc_id", 5) != 0)
-    return quality.fit(docs.select("doc_id", "text").filter(remainder("doc_id", 5) != 0).join(own, "doc_id"))
+    return quality.fit(docs.filter(remainder("doc_id", 5) != 0), own)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -144,11 +144,16 @@ def train(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, hidden: int = 32, e
     return Model(vectors, center, scale, p[0], p[1], p[2], float(p[3][0]), float(best))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> Model:
-    """Fit on the rows of ``labelled`` (id, text, label of 0 or 1); at most ``fit_rows``, those of least id hash."""
-    spark = labelled.sparkSession
-    rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.col(id_col).cast("string"), F.lit(11)).alias("h")).filter("label in (0, 1)")
-    sample = materialise(rows.orderBy("h", "label").limit(fit_rows) if fit_rows else rows, "quality-fit").repartition(4, "h").sortWithinPartitions("h", "label")
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> Model:
+    """Fit on the documents of at most ``fit_rows`` labels (id, label of 0 or 1), those of least id hash.
+
+    Labels are chosen before any text is read, so only a bounded list of ids is sent to the documents.
+    """
+    spark = docs.sparkSession
+    chosen = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.col(id_col).cast("string"), F.lit(11)).alias("h")).filter("label in (0, 1) and _id is not null")
+    chosen = F.broadcast(chosen.orderBy("h", "label").limit(fit_rows))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(chosen, "_id").select("text", "label", "h")
+    sample = materialise(rows, "quality-fit").repartition(4, "h").sortWithinPartitions("h", "label", "text")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, part_sum = index_vectors(), np.zeros((2 * ROWS, DIMS), dtype=np.float32)
