@@ -111,7 +111,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -40, 40)))
 
 
-def train(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, hidden: int = 32, epochs: int = 60, seed: int = 7) -> Model:
+def train(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, hidden: int = 32, epochs: int = 40, seed: int = 7) -> Model:
     """Fit the network by Adam on nine tenths of the rows and its temperature on the rest."""
     if not len(x):
         d = 2 * DIMS + EXTRAS
@@ -140,7 +140,7 @@ def train(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, hidden: int = 32, e
         return model
     logit, t = model.logits(x[held]), y[held]
     loss = lambda temp: np.logaddexp(0, np.where(t == 1, -logit, logit) / temp).mean()
-    best = min(np.exp(np.linspace(-1.5, 2.5, 81)), key=loss)
+    best = min(np.exp(np.linspace(0, 2.5, 51)), key=loss)
     return Model(vectors, center, scale, p[0], p[1], p[2], float(p[3][0]), float(best))
 
 

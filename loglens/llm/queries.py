@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprint, langid, licenses, neardup, pipeline_stages, quality, warc
+from . import chat, decontam, fingerprint, langid, licenses, lm, neardup, pipeline_stages, quality, warc
 from ._common import table
 from .pipeline_stages import remainder
 
@@ -19,6 +19,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm.score(docs, docs.filter(remainder("doc_id", 5) != 1))
+    return scored.withColumn("held_out", remainder("doc_id", 5) == 1)
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
