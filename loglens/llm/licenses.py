@@ -101,13 +101,13 @@ def scan_sql(source: str = "documents", known: dict[str, str] = SENTENCES, rules
 with known(s, norm) as (values {k}), rules(rule, license, seq, size) as (values {r}),
 texts as (select row_number() over () as rid, doc_id, text from {source} where regexp_matches(text, '{triggers}')),
 parts as (select rid, doc_id, string_split(regexp_replace(text, '([.!?])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10)) as p from texts),
-flat as (select rid, doc_id, unnest(range(len(p))) as at, unnest(p) as sentence from parts),
-norm as (select rid, doc_id, at, trim(regexp_replace(lower(sentence), '[^a-z0-9]+', ' ', 'g')) as n from flat),
-seqs as (select rid, doc_id, at, s, row_number() over (partition by rid order by at) as pos, count(*) over (partition by rid) as n_known from norm join known on n = norm.norm_key),
-runs as (select a.rid, a.doc_id, a.pos, a.at, r.rule, r.license, r.size, a.n_known, r.seq, string_agg(b.s, '|' order by b.pos) as got, max(b.at) as last_at, count(*) as c
+flat as (select rid, doc_id, unnest(range(len(p))) as place, unnest(p) as sentence from parts),
+norm as (select rid, doc_id, place, trim(regexp_replace(lower(sentence), '[^a-z0-9]+', ' ', 'g')) as n from flat),
+seqs as (select rid, doc_id, place, s, row_number() over (partition by rid order by place) as pos, count(*) over (partition by rid) as n_known from norm join known on n = norm.norm_key),
+runs as (select a.rid, a.doc_id, a.pos, a.place, r.rule, r.license, r.size, a.n_known, r.seq, string_agg(b.s, '|' order by b.pos) as got, max(b.place) as last_at, count(*) as c
   from seqs a cross join rules r join seqs b on b.rid = a.rid and b.pos >= a.pos and b.pos < a.pos + r.size
   group by all),
 hits as (select * from runs where got = seq and c = size)
-select doc_id, license, rule, cast(at as integer) as first_sentence, cast(last_at as integer) as last_sentence, cast(n_known as integer) as n_known,
+select doc_id, license, rule, cast(place as integer) as first_sentence, cast(last_at as integer) as last_sentence, cast(n_known as integer) as n_known,
   not exists (select 1 from hits y where y.rid = hits.rid and y.pos <= hits.pos and y.pos + y.size >= hits.pos + hits.size and y.size > hits.size) as longest
 from hits""".replace("join known on n = norm.norm_key", "join known on known.norm = norm.n")
