@@ -36,7 +36,7 @@ MOST_BITS, LEAST_BITS = 22, 14
 END, BLANK, PAD = 10, 32, 5
 END_KEY = 0
 FREQUENT = 1 << 19
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _STEP = 10  # quantised counts: ten steps for each doubling
 _COUNT = np.exp2(np.arange(256) / _STEP) - 1
 _PRIOR = 0.4
