@@ -150,8 +150,8 @@ def kmsg_message(record: Column) -> Column:
 
 def truncate_bytes(text: Column, most: int) -> Column:
     """At most so many bytes of a text; a character cut in two is dropped."""
-    cut = F.substring(F.encode(text, "UTF-8"), 1, most)
-    whole = F.regexp_replace(F.decode(cut, "UTF-8"), "�+$", "")
+    cut = F.substring(text.cast("binary"), 1, most).cast("string")
+    whole = F.regexp_replace(F.make_valid_utf8(cut), "\uFFFD+$", "")
     return F.when(F.octet_length(text) <= most, text).otherwise(whole)
 
 

@@ -8,16 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.search import highlight_ranges
 from ..operators.grouping import count_levels, first_seen_order, group_lines, group_lines_prefixed
 from ..sinks.jsonl import line_json
-from ..sources.text import discover, last_lines, paginate, scan_numbered
+from ..sources.text import GLOB, last_lines, paginate, scan_numbered
 from .config import LogQuery
 
 
 def lines_of(spark: SparkSession, query: LogQuery, folder: str = ".") -> DataFrame:
     """The lines of the files asked for, or of all logs of the folder."""
-    if query.files:
-        return scan_numbered(spark, *query.files)
-    found = discover(spark, folder).select("file").distinct()
-    return scan_numbered(spark, folder, glob="*.{log,log.gz}") if found.limit(1).count() else scan_numbered(spark, folder, glob="*.log")
+    return scan_numbered(spark, *query.files) if query.files else scan_numbered(spark, folder, glob=GLOB)
 
 
 def run(lines: DataFrame, query: LogQuery) -> DataFrame:

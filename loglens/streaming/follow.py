@@ -20,6 +20,6 @@ def follow_lines(spark: SparkSession, path: str, wanted: LogFilter | None = None
     return (wanted or LogFilter()).apply(lines, following=True)
 
 
-def follow_groups(lines: DataFrame, mode: str, sink: Callable[[DataFrame, int], None], **options: str) -> StreamingQuery:
+def follow_groups(lines: DataFrame, mode: str, sink: Callable[[DataFrame, int], object], **options: str) -> StreamingQuery:
     """Groups of each batch by itself, given to ``sink``."""
-    return lines.writeStream.foreachBatch(lambda batch, n: sink(group_lines(batch, mode), n)).options(**options).start()
+    return lines.writeStream.foreachBatch(lambda batch, n: sink(group_lines(batch, mode), n) and None).options(**options).start()
