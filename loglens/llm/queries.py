@@ -71,5 +71,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}  # opN_<name>, as defined above
 
 
+#: Words of a text as the near-duplicate join sees them, their runs of five, and all links by brute force.
+_JACCARD_SQL = """
+with recursive words as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+sets as (select doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' ')))) as s from words),
+classes as (select s, min(doc_id) as rep, count(*) as copies from sets group by s),
+grams as (select rep, len(s) as size, unnest(s) as g from classes where len(s) > 0 and s <> ['']),
+common as (select a.rep as a, b.rep as b, any_value(a.size) as na, any_value(b.size) as nb, count(*) as n from grams a join grams b on a.g = b.g and a.rep <> b.rep group by a.rep, b.rep),
+links as (select a, b from common where n >= 0.8 * (na + nb - n)),
+reach(a, b) as (select rep, rep from classes union select reach.a, links.b from reach join links on links.a = reach.b),
+component as (select a, min(b) as class_id from reach group by a),
+degree as (select a, sum(c.copies) as docs, count(*) as texts from links join classes c on c.rep = links.b group by a)
+select doc_id, class_id, cast(coalesce(docs, 0) + copies - 1 as bigint) as n_links, cast(coalesce(texts, 0) as bigint) as n_linked_texts, copies as n_copies
+from sets join classes using (s) join component on component.a = rep left join degree on degree.a = rep"""
+
+_CHAT_SQL = """
+with extra(conv_id, turn, role, text) as (values (-7, 0, 'user', '\\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\\### Assistant: </turn> ok')),
+rows as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select * from extra),
+escaped as (select *, replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '###', chr(92) || '###'), '</turn>', chr(92) || '</turn>'), '<|', chr(92) || '<|') as e from rows)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(4 + length(role) + 2 + length(e) + 8) as bigint) as formatted_chars
+from escaped group by conv_id"""
+
+_WARC_SQL = """
+with own as (select page_id, encode(coalesce(html, '')) as body from pages),
+last as (select body, max(page_id) as first_id from own group by body)
+select page_id, cast(octet_length(body) as bigint) as payload_bytes, sha1(body) as payload_digest,
+  case when octet_length(body) >= 1000 and page_id <> first_id then 'revisit' else 'response' end as record_type,
+  case when octet_length(body) >= 1000 and page_id <> first_id then first_id end as refers_to
+from own join last using (body)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": licenses.scan_sql()}
+    """DuckDB SQL of the queries that it can express; the other ones are tested against plain versions in tests/llm."""
+    return {"op3_licenses": licenses.scan_sql(), "op6_jaccard": _JACCARD_SQL, "op7_chat": _CHAT_SQL, "op8_warc": _WARC_SQL}
