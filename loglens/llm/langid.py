@@ -108,7 +108,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
         def flush(least: int) -> Iterator[pa.RecordBatch]:
             for lang in [k for k, v in kept.items() if len(v[0]) >= least]:
                 g, n = kept.pop(lang)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
         for part in chunks(batches, text_col):
             langs = np.asarray(part.column(lang_col).to_pylist(), dtype=object)
