@@ -36,6 +36,8 @@ MOST_BITS, LEAST_BITS = 22, 14
 END, BLANK, PAD = 10, 32, 5
 END_KEY = 0
 FREQUENT = 1 << 19
+#: Tasks that learn weights side by side.
+LEARNERS = 24
 CHUNK = 1 << 20
 _STEP = 10  # quantised counts: ten steps for each doubling
 _COUNT = np.exp2(np.arange(256) / _STEP) - 1
@@ -272,9 +274,9 @@ def fit(grams: DataFrame) -> Model:
                 seen += int(n.sum())
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([hits.tobytes()], pa.binary()), pa.array([seen])], ["weights", "hits", "seen"])
 
-    mixed = grams.repartition(F.xxhash64("key")).sortWithinPartitions(F.xxhash64("key", F.lit(1)))
+    mixed = grams.repartition(LEARNERS, F.xxhash64("key")).sortWithinPartitions(F.xxhash64("key", F.lit(1)))
     total, weights, hits = 0, np.zeros(start.shape), np.zeros((2, 256 * BUCKETS))
-    for w, h, seen in mixed.select("key", "n").mapInArrow(run, "weights binary, hits binary, seen long").toLocalIterator():
+    for w, h, seen in mixed.select("key", "n").mapInArrow(run, "weights binary, hits binary, seen long").collect():  # LEARNERS small rows
         total += seen
         weights += seen * np.frombuffer(w, np.float32).reshape(start.shape)
         hits += np.frombuffer(h).reshape(hits.shape)

@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array([part_sum.tobytes()], pa.binary())], ["sums"])
 
     total = np.zeros((2 * ROWS, DIMS), dtype=np.float32)
-    for r in sample.select("text").mapInArrow(sums, "sums binary").toLocalIterator():
+    for r in sample.select("text").mapInArrow(sums, "sums binary").collect():  # four tables of fixed size
         total += np.frombuffer(r["sums"], dtype=np.float32).reshape(total.shape)
     unseen = ~total.any(axis=1)
     total[unseen] = index_vectors()[unseen]
