@@ -36,8 +36,8 @@ MOST_BITS, LEAST_BITS = 22, 14
 END, BLANK, PAD = 10, 32, 5
 END_KEY = 0
 FREQUENT = 1 << 19
-#: Tasks that learn weights side by side.
-LEARNERS = 24
+#: Most tasks that learn weights side by side, and the n-grams that each should have.
+LEARNERS, GRAMS_EACH = 24, 100_000
 CHUNK = 1 << 20
 _STEP = 10  # quantised counts: ten steps for each doubling
 _COUNT = np.exp2(np.arange(256) / _STEP) - 1
@@ -257,7 +257,8 @@ def _tables(grams: DataFrame, bits: list[int]) -> tuple[np.ndarray, np.ndarray]:
 def fit(grams: DataFrame) -> Model:
     """A model from counted n-grams (key, n), which are read several times and must be stable."""
     spark = grams.sparkSession
-    bits = table_bits(grams.count())
+    n = grams.count()
+    bits = table_bits(n)
     zeros, ones = _tables(grams, bits)
     start = np.full((INPUTS, _GATES), 0.25, dtype=np.float32)
     squash = 1 / (1 + np.exp(-(np.arange(BUCKETS) / (BUCKETS - 1) * 24 - 12)))
@@ -274,9 +275,9 @@ def fit(grams: DataFrame) -> Model:
                 seen += int(n.sum())
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([hits.tobytes()], pa.binary()), pa.array([seen])], ["weights", "hits", "seen"])
 
-    mixed = grams.repartition(LEARNERS, F.xxhash64("key")).sortWithinPartitions(F.xxhash64("key", F.lit(1)))
+    mixed = grams.repartition(min(LEARNERS, n // GRAMS_EACH + 1), F.xxhash64("key")).sortWithinPartitions(F.xxhash64("key", F.lit(1)))
     total, weights, hits = 0, np.zeros(start.shape), np.zeros((2, 256 * BUCKETS))
-    for w, h, seen in mixed.select("key", "n").mapInArrow(run, "weights binary, hits binary, seen long").collect():  # LEARNERS small rows
+    for w, h, seen in mixed.select("key", "n").mapInArrow(run, "weights binary, hits binary, seen long").collect():  # a small row from each learner
         total += seen
         weights += seen * np.frombuffer(w, np.float32).reshape(start.shape)
         hits += np.frombuffer(h).reshape(hits.shape)

@@ -111,7 +111,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -40, 40)))
 
 
-def train(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, hidden: int = 32, epochs: int = 40, seed: int = 7) -> Model:
+def train(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, hidden: int = 32, epochs: int = 80, seed: int = 7) -> Model:
     """Fit the network by Adam on nine tenths of the rows and its temperature on the rest."""
     if not len(x):
         d = 2 * DIMS + EXTRAS
