@@ -22,8 +22,8 @@ def ascii_lower(text: Column) -> Column:
 
 def parse_level(text: Column) -> Column:
     """The level that a text names, whatever its case; null for anything else."""
-    low = ascii_lower(text)
-    return F.when(low.isin([x.lower() for x in LEVELS]), F.initcap(low))
+    names = F.create_map(*[F.lit(x) for name in LEVELS for x in (name.lower(), name)])
+    return F.try_element_at(names, ascii_lower(text))
 
 
 def level_ordinal(level: Column) -> Column:
@@ -45,5 +45,5 @@ def levels_of(mask: int) -> list[str]:
 
 def priority_level(priority: Column) -> Column:
     """The level of a syslog priority given as text; leading zeros and a plus sign are allowed, as in any decimal number."""
-    number = F.regexp_extract(priority, r"^\+?0*([0-7])$", 1)
-    return F.when(priority.rlike(r"^\+?0*[0-7]$"), F.element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), number))
+    names = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])
+    return F.try_element_at(names, F.regexp_extract(priority, r"^\+?0*([0-7])$", 1))

@@ -19,20 +19,21 @@ BRACKET = r"^\[([^\]]+)\]"
 LOGFMT_LEVEL = r"(?:^|[ \t])(?:level|severity|lvl)=([^ \t]*)"
 TIME_KEYS = ("time", "timestamp", "date")
 LINE_INFO = "struct<format:string,level:string,level_start:int,level_end:int,date:string,time:string>"
-#: Bytes of a level value in JSON that are looked at.
+#: Bytes of a value in JSON that are looked at.
 LEVEL_BYTES, MESSAGE_BYTES = 16, 4096
 
 
 def extracted(text: Column, pattern: str, group: int = 1) -> Column:
-    """A group of the first match; null, not empty, where nothing matches."""
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
+    """A group of the first match; null, not empty, where nothing matches.  The text is evaluated once."""
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0))
 
 
 def json_string(raw: Column, key: str, most: int | None = None) -> Column:
     """A top-level string field of a JSON line; null for other types, and for more than ``most`` bytes."""
-    value = F.get_json_object(raw, f"$.{key}")
-    ok = raw.startswith("{") & ~value.rlike(r'^(?:\{|\[["{\[])')
-    return F.when(ok if most is None else ok & (F.octet_length(value) <= most), value)
+    value = F.when(raw.startswith("{") & raw.rlike(rf'"{re.escape(key)}"\s*:\s*"'), F.get_json_object(raw, f"$.{key}"))
+    if most is None:
+        return value
+    return F.when(F.octet_length(raw) <= most, value).when(F.octet_length(value) <= most, value)
 
 
 def line_format(raw: Column) -> Column:
@@ -45,12 +46,11 @@ def analyse(raw: Column) -> Column:
     The first byte decides the format.  Dates stand at the start of a plain line (or behind its bracket), times anywhere
     behind a boundary; in JSON both come from ``time``, ``timestamp`` or ``date``.
     """
-    whole = {k: json_string(raw, k) for k in ("level", *TIME_KEYS)}
-    json_level = F.when(F.octet_length(whole["level"]) <= LEVEL_BYTES, whole["level"])
-    json_date = F.coalesce(*[extracted(whole[k], r"^([0-9]{4}-[0-9]{2}-[0-9]{2})") for k in TIME_KEYS])
-    json_time = F.coalesce(*[extracted(whole[k], TIME) for k in TIME_KEYS])
+    stamps = [json_string(raw, k) for k in TIME_KEYS]
+    json_date = F.coalesce(*[extracted(v, DATE_AT_START.replace(r"\[?", "")) for v in stamps])
+    json_time = F.coalesce(*[extracted(v, TIME) for v in stamps])
     json, bracketed = raw.startswith("{"), raw.startswith("[")
-    named = F.when(json, json_level).when(bracketed, extracted(raw, BRACKET)).otherwise(extracted(raw, LOGFMT_LEVEL))
+    named = F.when(json, json_string(raw, "level")).when(bracketed, extracted(raw, BRACKET)).otherwise(extracted(raw, LOGFMT_LEVEL))
     before = F.when(json, F.length(F.regexp_extract(raw, r'^(.*?"level"\s*:\s*")', 1))).when(bracketed, F.lit(1)).otherwise(F.length(F.regexp_extract(raw, r"(?s)^(.*?(?:^|[ \t])(?:level|severity|lvl)=)", 1)))
     return F.struct(
         line_format(raw).alias("format"),
