@@ -38,7 +38,7 @@ END_KEY = 0
 FREQUENT = 1 << 19
 #: Most tasks that learn weights side by side, and the n-grams that each should have.
 LEARNERS, GRAMS_EACH = 24, 100_000
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _STEP = 10  # quantised counts: ten steps for each doubling
 _COUNT = np.exp2(np.arange(256) / _STEP) - 1
 _PRIOR = 0.4
@@ -217,7 +217,7 @@ def count(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 own = np.sort(own)
                 first = np.flatnonzero(np.diff(own, prepend=~own[:1])) if len(own) else np.zeros(0, np.int64)
                 kept[kind].append((own[first], np.diff(first, append=len(own))))
-                yield from give(kind, 1_500_000)
+                yield from give(kind, 1_000_000)
         if texts:
             kept[1].append((np.array([END_KEY]), np.array([texts])))
         for kind in kept:
