@@ -26,19 +26,17 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
 def scan_numbered(spark: SparkSession, *paths: str, glob: str | None = None) -> DataFrame:
     """(file, line_no, raw): numbers count the non-empty lines of a file from 0, across its splits.
 
-    The splits of a file are put in order by where they start in it, and each line by its place in its split: one count per
-    split is added up, so no file is read by a single task.
+    The splits of a file are put in order by where they start in it, and a line by its place in its split.  One row per
+    split is shuffled, never the lines.
     """
     reader = spark.read.option("lineSep", "\n")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    rows = reader.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw")
-    ).filter(F.length("raw") > 0)
-    own = rows.withColumn("n", F.row_number().over(Window.partitionBy("file", "split").orderBy("at")))
-    counts = rows.groupBy("file", "split").agg(F.count("*").alias("lines"))
+    rows = reader.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("raw")).filter(F.length("raw") > 0)
+    placed = rows.withColumn("at", F.monotonically_increasing_id())  # without gaps within a split, which one task reads in order
+    splits = placed.groupBy("file", "split").agg(F.count("*").alias("lines"), F.min("at").alias("first"))
     before = F.coalesce(F.sum("lines").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return own.join(counts.select("file", "split", before.alias("before")), ["file", "split"]).select("file", (F.col("before") + F.col("n") - 1).alias("line_no"), "raw")
+    return placed.join(splits.select("file", "split", (before - F.col("first")).alias("shift")), ["file", "split"]).select("file", (F.col("at") + F.col("shift")).alias("line_no"), "raw")
 
 
 def last_lines(lines: DataFrame, n: int = 10, by: str = "file", order: str = "line_no") -> DataFrame:
@@ -47,10 +45,22 @@ def last_lines(lines: DataFrame, n: int = 10, by: str = "file", order: str = "li
     return lines.withColumn("_back", back).filter(F.col("_back") <= n).drop("_back")
 
 
+def ranked(lines: DataFrame, by: str, order: str, into: str, width: int = 1 << 16) -> DataFrame:
+    """Lines with their rank (from 1) among the lines of equal ``by``.
+
+    Ranks are taken within stretches of ``width`` of the order column, and the counts of the stretches added up, so a
+    large file is ranked by many tasks.
+    """
+    own = lines.withColumn("_stretch", F.floor(F.col(order) / width))
+    counts = own.groupBy(by, "_stretch").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy(by, "_stretch").orderBy(order))
+    return own.join(counts.select(by, "_stretch", before.alias("_before")), [by, "_stretch"]).withColumn(into, F.col("_before") + within).select(*lines.columns, into)
+
+
 def paginate(lines: DataFrame, size: int, by: str = "file", order: str = "line_no") -> DataFrame:
     """Lines with the number of their page within the file, from 1."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    return lines.withColumn("page", F.ceil(place / size).cast("long"))
+    return ranked(lines, by, order, "page").withColumn("page", F.ceil(F.col("page") / size).cast("long"))
 
 
 def bounded(raw: Column, most: int = AGENT_LINE_BYTES) -> Column:
