@@ -155,15 +155,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(chosen, "_id").select("text", "label", "h")
     sample = materialise(rows, "quality-fit").repartition(4, "h").sortWithinPartitions("h", "label", "text")
 
+    sum_names = [f"c{k}" for k in range(DIMS)]
+
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, part_sum = index_vectors(), np.zeros((2 * ROWS, DIMS), dtype=np.float32)
         for part in chunks(batches, "text"):
             context_sums(*text_bytes(part.column("text")), index, part_sum)
-        yield pa.RecordBatch.from_arrays([pa.array([part_sum.tobytes()], pa.binary())], ["sums"])
+        own = np.flatnonzero(part_sum.any(axis=1))
+        for a in range(0, len(own), 8192):
+            some = own[a : a + 8192]
+            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(part_sum[some, k].astype(np.int64)) for k in range(DIMS))], ["row", *sum_names])
 
+    # Whole numbers, so the order of adding doesn't matter; the result has 2 * ROWS rows at most.
+    added = sample.select("text").mapInArrow(sums, "row long, " + ", ".join(f"{c} long" for c in sum_names)).groupBy("row").agg(*[F.sum(c).alias(c) for c in sum_names]).toArrow()
     total = np.zeros((2 * ROWS, DIMS), dtype=np.float32)
-    for r in sample.select("text").mapInArrow(sums, "sums binary").collect():  # four tables of fixed size
-        total += np.frombuffer(r["sums"], dtype=np.float32).reshape(total.shape)
+    total[added["row"].to_numpy()] = np.stack([added[c].to_numpy() for c in sum_names], axis=1)
     unseen = ~total.any(axis=1)
     total[unseen] = index_vectors()[unseen]
     vectors = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-6)
