@@ -4,7 +4,9 @@ An item of m characters that occurs in a text with at most k edits shares at lea
 with it, all of them on diagonals (text place less item place) of which the outermost differ by at most k.  So every
 q-gram of a text that some item has is counted in the two overlapping diagonal bands that hold its diagonal; bands are
 twice as wide as their distance, and wider than any k.  Only bands that reach the item's bound are aligned, inside the
-band, and an item counts as leaked if it is found whole within its edit budget.
+band, and an item counts as leaked if it is found whole within its edit budget.  A longer item is also searched in
+overlapping windows, each as an item of its own, so that a copied part of ``WINDOW`` + ``STEP`` characters is found too;
+``share`` tells how much of the item the found part is.
 
 Characters are UTF-8 bytes of the text in lower case with white space runs as single blanks; k is ``rate`` times m.
 
@@ -29,9 +31,11 @@ from ._common import chunks, materialise, mix64
 Q = 8
 RATE = 0.1
 LEAST = 32
+#: Characters of a window, and from one to the next.
+WINDOW, STEP = 96, 32
 #: Bytes of item text that are sent out at once.
 BLOCK_BYTES = 1 << 20
-LEAKS = "array<struct<item_id:bigint,edits:int,start:bigint,length:bigint>>"
+LEAKS = "array<struct<item_id:bigint,edits:int,start:bigint,length:bigint,share:double>>"
 
 
 def normalise(text: str | None) -> bytes:
@@ -92,19 +96,22 @@ class Index:
     """The q-grams of a block of items, ascending, with the item and place of each."""
 
     ids: list[int | None]
-    items: list[bytes]
+    texts: list[bytes]
     q: int = Q
     rate: float = RATE
+    window: int = WINDOW
+    step: int = STEP
     grams: np.ndarray = field(init=False)
     owner: np.ndarray = field(init=False)
     place: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        size = np.array([len(x) for x in self.items], dtype=np.int64)
-        self.budget = np.minimum((size * self.rate).astype(np.int64), np.maximum(size // self.q - 1, 0))
-        self.bound = np.maximum(size + 1 - self.q * (self.budget + 1), 1)
+        size = np.array([len(x) for x in self.texts], dtype=np.int64)
+        self.budget, self.bound = self.limits(size)
+        (self.window_budget,), (self.window_bound,) = self.limits(np.array([self.window]))
+        self.least = np.where(size > self.window, np.minimum(self.bound, self.window_bound), self.bound)
         self.stride = int(max(16, self.budget.max(initial=0) + 1))
-        data = np.frombuffer(b"".join(self.items), dtype=np.uint8)
+        data = np.frombuffer(b"".join(self.texts), dtype=np.uint8)
         off = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
         at = np.concatenate([np.arange(a, b - self.q + 1) for a, b in zip(off, off[1:], strict=False)] or [np.zeros(0)]).astype(np.int64)
         h = grams_at(data, self.q)[at]
@@ -116,9 +123,25 @@ class Index:
         self.seen = np.zeros(1 << 22, dtype=bool)
         self.seen[(self.distinct >> np.uint64(42)).astype(np.int64)] = True
 
+    def limits(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edit budgets of texts of such sizes, and how many of their q-grams must be left."""
+        budget = np.minimum((size * self.rate).astype(np.int64), np.maximum(size // self.q - 1, 0))
+        return budget, np.maximum(size + 1 - self.q * (budget + 1), 1)
+
+    def _place(self, pattern: bytes, budget: int, text: bytes, diagonals: np.ndarray) -> tuple[int, int, int] | None:
+        """(edits, start, length) of the best place of the pattern around the diagonals of its q-grams."""
+        values, often = np.unique(diagonals, return_counts=True)
+        main = int(values[often.argmax()])
+        if main >= 0 and text[main : main + len(pattern)] == pattern:
+            return 0, main, len(pattern)
+        low, high = int(values[0]) - budget, int(values[-1]) + budget
+        cut = max(0, low)
+        got = locate(pattern, text[cut : high + len(pattern) + budget], low - cut, high - cut, budget)
+        return got and (got[0], got[1] + cut, got[2])
+
     def search(self, texts: list[bytes]) -> list[list[dict]]:
         """The leaked items of each normalised text, by item id."""
-        found: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
+        found: list[dict[int, tuple[bool, int, int, int]]] = [{} for _ in texts]  # by item: in part, edits, start, length
         size = np.array([len(t) for t in texts], dtype=np.int64)
         off = np.concatenate([[0], np.cumsum(size)])
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -145,29 +168,30 @@ class Index:
         key, docs, both = key[order], docs[order], both[order]
         start = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(docs, prepend=-1) != 0)) if len(key) else np.zeros(0, np.int64)
         count = np.diff(start, append=len(key))
-        ok = count >= self.bound[key[start] // wide]
+        ok = count >= self.least[key[start] // wide]
         for a, n in zip(start[ok].tolist(), count[ok].tolist(), strict=True):
             hits = both[a : a + n]
             i, d = int(item[hits[0]]), int(docs[a])
-            if found[d].get(i, (1,))[0] == 0:
-                continue
-            if len(np.unique(self.place[each[hits]])) < self.bound[i]:  # the same place may have been hit again
+            best = found[d].get(i, (True, 1 << 30, 0, 0))
+            if best[:2] == (False, 0):
                 continue
-            budget, text, pattern = int(self.budget[i]), texts[d], self.items[i]
-            own = where[hits] - self.place[each[hits]] - off[d]
-            values, often = np.unique(own, return_counts=True)
-            main = int(values[often.argmax()])
-            if main >= 0 and text[main : main + len(pattern)] == pattern:
-                got = (0, main, len(pattern))
-            else:
-                low, high = int(values[0]) - budget, int(values[-1]) + budget
-                cut = max(0, low)
-                got = locate(pattern, text[cut : high + len(pattern) + budget], low - cut, high - cut, budget)
-                got = got and (got[0], got[1] + cut, got[2])
-            if got and got < found[d].get(i, (len(pattern) + 1, 0, 0)):
-                found[d][i] = got
+            text, pattern = texts[d], self.texts[i]
+            places, diagonals = self.place[each[hits]], where[hits] - self.place[each[hits]] - off[d]
+            distinct = np.unique(places)  # the same place may have been hit again
+            if len(distinct) >= self.bound[i] and (got := self._place(pattern, int(self.budget[i]), text, diagonals)):
+                best = min(best, (False, *got))
+            if best[0] and best[1] and len(pattern) > self.window:
+                starts = np.array([*range(0, len(pattern) - self.window, self.step), len(pattern) - self.window])
+                here = np.searchsorted(distinct, starts + self.window - self.q + 1) - np.searchsorted(distinct, starts)
+                for w in starts[here >= self.window_bound].tolist():
+                    own = (places >= w) & (places <= w + self.window - self.q)
+                    if got := self._place(pattern[w : w + self.window], int(self.window_budget), text, diagonals[own] + w):
+                        best = min(best, (True, *got))
+            if best[1] < 1 << 30:
+                found[d][i] = best
         name = lambda i: (self.ids[i] is None, self.ids[i] or 0)
-        return [[{"item_id": self.ids[i], "edits": f[i][0], "start": f[i][1], "length": f[i][2]} for i in sorted(f, key=name)] for f in found]
+        leak = lambda i, part, edits, start, length: {"item_id": self.ids[i], "edits": edits, "start": start, "length": length, "share": self.window / len(self.texts[i]) if part else 1.0}
+        return [[leak(i, *f[i]) for i in sorted(f, key=name)] for f in found]
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, least: int, limit: int) -> Iterator[list[tuple[int | None, str]]]:
@@ -180,7 +204,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, least: int, limit:
 
 
 def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = Q, rate: float = RATE, least: int = LEAST, into: str = "leaks", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with a column ``into``: the leaked items of each row, with edits, start and length in the normalised text."""
+    """``docs`` with a column ``into``: the leaked items of each row, with edits, start and length in the normalised text, and share."""
     out = docs.withColumn(into, F.array().cast(LEAKS))
     for n, block in enumerate(_blocks(benchmark, item_id, item_text, least, block_bytes)):
         pairs = [(i, x) for i, t in block if len(x := normalise(t)) >= least]
@@ -197,7 +221,7 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                 leaks = part.column(into)
                 if n:
                     got = [[*a, *b] for a, b in zip(leaks.to_pylist(), got, strict=True)]
-                kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int64()), ("length", pa.int64())]))
+                kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("share", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([pa.array(got, kind) if c == into else part.column(c) for c in names], names)
 
         if n:

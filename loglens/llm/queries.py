@@ -64,7 +64,7 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     leaks = decontam.mark_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak"))
-    return leaks.select("doc_id", "leak.item_id", "leak.edits", "leak.start", "leak.length")
+    return leaks.select("doc_id", "leak.item_id", "leak.edits", "leak.start", "leak.length", "leak.share")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -299,9 +299,13 @@ def test_leaks_like_brute_force(spark):
         text = decontam.normalise(t)
         for i, item in own.items():
             d = edit_distance_within(item, text)
-            assert ((k, i) in got) == (d <= int(len(item) * decontam.RATE)), (k, i, d, len(item))
-            if (k, i) in got:
-                x = got[k, i]
+            x = got.get((k, i))
+            assert (x is not None and x["share"] == 1) == (d <= int(len(item) * decontam.RATE)), (k, i, d, len(item))
+            if x and x["share"] < 1:
+                windows = [item[a : a + decontam.WINDOW] for a in [*range(0, len(item) - decontam.WINDOW, decontam.STEP), len(item) - decontam.WINDOW]]
+                best = min(edit_distance_within(w, text) for w in windows)
+                assert x["edits"] == best <= int(decontam.WINDOW * decontam.RATE) and x["share"] == decontam.WINDOW / len(item)
+            elif x:
                 assert x["edits"] == d and edit_distance_within(text[x["start"] : x["start"] + x["length"]], item) <= 2 * d
     small = decontam.mark_leaks(docs, bench, block_bytes=200)
     assert {(r["doc_id"], x["item_id"], x["edits"]) for r in small.collect() for x in r["leaks"]} == {(k, i, x["edits"]) for (k, i), x in got.items()}
@@ -320,6 +324,17 @@ def test_leaks_in_odd_documents(spark):
     assert decontam.mark_leaks(docs, bench.limit(0)).filter(F.size("leaks") > 0).count() == 0
 
 
+def test_leaked_parts(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    item = prose(80)
+    docs = [(0, prose(50)), (1, f"{prose(30)} {item[40:40 + decontam.WINDOW + decontam.STEP]} {prose(30)}"), (2, f"{prose(30)} {item[-140:]}"), (3, item[10:70]), (4, f"{item[:100].upper()} {prose(9)}"), (5, item)]
+    out = decontam.mark_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string"))
+    got = {r["doc_id"]: r["leaks"][0]["share"] for r in out.collect() if r["leaks"]}
+    assert got == {1: decontam.WINDOW / len(item), 2: decontam.WINDOW / len(item), 4: decontam.WINDOW / len(item), 5: 1.0}
+
+
 def test_alignment_stays_in_its_band():
     rng = random.Random(2)
     for _ in range(200):
