@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, levels, lines, search
 from ..operators import crash, filters, grouping, journal, kernel, metrics, rules
-from ..sinks import jsonl
+from ..sinks import jsonl, otlp
 from ..sources import sample
 from ..sources.sample import SQL_CRASHES, SQL_LINES, crash_lines, log_lines
 from ..sources.text import last_lines, paginate
@@ -321,6 +321,68 @@ def alert_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.first_seen(_ruled(spark, sf_dir)).select("pos", jsonl.alert_json().alias("payload"))
 
 
+@registered("parse_strict", _WITH + "select line_no, format, level, date, time from parsed")
+def parse_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).withColumn("info", lines.strict_json(F.col("raw"))).select("line_no", "info.format", "info.level", "info.date", "info.time")
+
+
+@registered("extract_message", _WITH + f"select line_no, {_MESSAGE} as message from parsed")
+def extract_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _analysed(spark, sf_dir).select("line_no", lines.message(F.col("raw"), F.col("info.format")).alias("message"))
+
+
+@registered("logfmt_field", f"select line_no, regexp_extract(raw, ' level=([^ ]*)', 1) as level, regexp_extract(raw, ' msg=\"([^\"]*)\"', 1) as msg, cast(null as varchar) as other from ({SQL_LINES}) where line_no % 4 = 2")
+def logfmt_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _lines(spark, sf_dir).filter("line_no % 4 = 2")
+    return own.select("line_no", *[lines.logfmt_field(F.col("raw"), k).alias(k) for k in ("level", "msg", "other")])
+
+
+@registered("bounded_lines", f"select line_no, substr(raw, 1, 40) as raw from ({SQL_LINES})")
+def bounded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("line_no", lines.truncate_bytes(F.col("raw"), 40).alias("raw"))
+
+
+@registered("search_groups", f"select line_no from ({SQL_LINES}) where regexp_matches(raw, '(?is)(click|view|signup) failed.*[^0-9]9[0-9]* ms($|[^a-z])')")
+def search_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.LogFilter(search=r"(click|view|signup) failed.*\D9\d* ms($|[^a-z])").apply(_lines(spark, sf_dir)).select("line_no")
+
+
+_ROUTES = "case event_id % 4 when 0 then '/metrics' when 1 then '/metrics.json' when 2 then '/healthz' else 'other' end"
+
+
+@registered("http_counters", f"select route, cast(case when code in (200, 400, 401, 404, 500) then code when code < 400 then 200 when code < 500 then 400 else 500 end as integer) as code, count(*) as count from (select {_ROUTES} as route, 200 + user_id % 310 as code from events) group by all")
+def http_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.http_counters(sample.events_table(spark, sf_dir).selectExpr(f"{_ROUTES} as route", "200 + user_id % 310 as code"))
+
+
+@registered("kernel_payload", f"""select pos, '{{"ts_ms":' || pos || ',"kind":"kernel_oom","source":"kmsg","pid":' || regexp_extract(m, 'process ([0-9]+)', 1) || ',"comm":"' || regexp_extract(m, '\\(([^)]*)\\)', 1) || '","detail":"' || m || '"}}' as payload
+    from (select pos, regexp_extract(record, ';([^\\n]*)', 1) as m from ({_KERNEL_SQL})) where regexp_matches(m, '^Killed process [0-9]')""")
+def kernel_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kernel.kernel_events(_from_events(spark, sf_dir, _KERNEL)).filter("kind = 'kernel_oom'").withColumn("ts_ms", F.col("pos"))
+    return found.select("pos", jsonl.kernel_json().alias("payload"))
+
+
+@registered("otlp_records", _WITH + f"""select min(line_no) as pos, arg_min(epoch_us(ts) // 1000, line_no) * 1000000 as time_ns, 'info' as severity, 'alert first_seen/first_seen fired (1/1 in 0ms)' as body, arg_min(file, line_no) as path
+    from parsed where level in ('Error','Fatal','Panic') group by {_SIGNATURE}""")
+def otlp_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fired = rules.first_seen(_ruled(spark, sf_dir))
+    own = otlp.rule_records(fired, "pos")
+    return own.select("pos", "time_ns", "severity", "body", F.filter("attributes", lambda a: a["key"] == "log.file.path")[0]["string_value"].alias("path"))
+
+
+# The service's state machine over journal entries has no SQL form; tests hold it against plain expectations.
+@registered("journal_crashes", None)
+def journal_crashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _from_events(spark, sf_dir, _JOURNAL).withColumn("pid", F.lit("12")).withColumn("t_ms", F.col("pos") * 1000)
+    return journal.track_units(entries, "sample", "*.service", until_ms=_UNTIL)
+
+
+@registered("service_payload", None)
+def service_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = crash_lines(spark, sf_dir).withColumnRenamed("line_no", "pos")
+    return crash.track(own, until_ms=_UNTIL).select("service", jsonl.service_json().alias("payload"))
+
+
 def queries() -> dict[str, Query]:
     return {k: q for k, (q, _) in _found.items()}
 

@@ -28,20 +28,20 @@ def _attributes(*pairs: tuple[str, Column, str]) -> Column:
     return F.array_compact(F.array(*made))
 
 
-def _record(events: DataFrame, severity: Column, body: Column, attributes: Column) -> DataFrame:
-    return events.select((F.col("ts_ms") * 1_000_000).alias("time_ns"), severity.alias("severity"), body.alias("body"), attributes.alias("attributes"))
+def _record(events: DataFrame, severity: Column, body: Column, attributes: Column, *keep: str) -> DataFrame:
+    return events.select(*keep, (F.col("ts_ms") * 1_000_000).alias("time_ns"), severity.alias("severity"), body.alias("body"), attributes.alias("attributes"))
 
 
 def _some(name: str) -> Column:
     return F.nullif(F.col(name), F.lit(""))
 
 
-def rule_records(fired: DataFrame) -> DataFrame:
-    """(time_ns, severity, body, attributes) of fired rules."""
+def rule_records(fired: DataFrame, *keep: str) -> DataFrame:
+    """(time_ns, severity, body, attributes) of fired rules, behind the columns to keep."""
     severity = F.when(F.col("kind") == "silence", "warn").when(F.col("kind") == "first_seen", "info").otherwise("error")
     body = F.format_string("alert %s/%s fired (%d/%d in %dms)", "kind", "rule_id", "observed_count", "threshold.count", "threshold.window_ms")
     attributes = _attributes(("alert.kind", F.col("kind"), "s"), ("alert.rule_id", F.col("rule_id"), "s"), ("log.file.path", F.col("file"), "s"), ("alert.threshold_count", F.col("threshold.count"), "i"), ("alert.threshold_window_ms", F.col("threshold.window_ms"), "i"), ("alert.observed_count", F.col("observed_count"), "i"), ("log.line", F.col("line"), "s"))
-    return _record(fired, severity, body, attributes)
+    return _record(fired, severity, body, attributes, *keep)
 
 
 def service_records(events: DataFrame) -> DataFrame:
