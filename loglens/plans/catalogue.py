@@ -249,7 +249,7 @@ def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("crash_events", _CRASH + """, ordered as (select *, row_number() over (partition by service order by line_no) as r from crash_lines),
     traces as (select event_id, any_value(service) as service, count(*) filter (where raw like chr(9) || '%') as frames,
       string_agg(case when raw like chr(9) || '%' and line_no - event_id * 64 <= 32 then raw || chr(10) end, '' order by line_no) as stack_trace,
-      min(raw) filter (where line_no = event_id * 64) as detail, min(t_ms) as started from crash_lines group by event_id)
+      min(raw) filter (where line_no = event_id * 64) as detail, min(t_ms) as started from crash_lines group by event_id having bool_or(contains(raw, 'panic:')))
     select service, 'service_crash' as kind, 'go_panic' as marker, cast(regexp_extract(detail, '\\[([0-9]+)\\]', 1) as bigint) as pid, row_number() over (partition by service order by event_id) as crash_count, detail, nullif(stack_trace, '') as stack_trace from traces""")
 def crash_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = crash_lines(spark, sf_dir).withColumnRenamed("line_no", "pos")
@@ -331,9 +331,9 @@ def extract_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _analysed(spark, sf_dir).select("line_no", lines.message(F.col("raw"), F.col("info.format")).alias("message"))
 
 
-@registered("logfmt_field", f"select line_no, regexp_extract(raw, ' level=([^ ]*)', 1) as level, regexp_extract(raw, ' msg=\"([^\"]*)\"', 1) as msg, cast(null as varchar) as other from ({SQL_LINES}) where line_no % 4 = 2")
+@registered("logfmt_field", f"select line_no, regexp_extract(raw, ' level=([^ ]*)', 1) as level, regexp_extract(raw, ' msg=\"([^\"]*)\"', 1) as msg, cast(null as varchar) as other from ({SQL_LINES}) where raw like 'time=%'")
 def logfmt_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _lines(spark, sf_dir).filter("line_no % 4 = 2")
+    own = _lines(spark, sf_dir).filter(lines.line_format(F.col("raw")) == "plain_logfmt")
     return own.select("line_no", *[lines.logfmt_field(F.col("raw"), k).alias(k) for k in ("level", "msg", "other")])
 
 

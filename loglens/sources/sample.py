@@ -18,13 +18,15 @@ _LINE = {
     "raw": """case cast(event_id % 4 as int) when 0 then concat('{{"time":"', t, '","ctx":{{"level":"debug"}},"level":"', lvl, '","message":"', msg, '"}}')
       when 1 then concat('[', upper(lvl), '] ', msg, ' at ', t) when 2 then concat('time=', t, ' level=', lvl, ' msg="', msg, '"') else concat(t, ' ', lvl, ' ', msg) end""",
 }
-#: Each fatal event as a marker line, up to 40 stack frames and an ordinary line.
+#: A line of a service for each event; a fatal one is a marker line, up to 40 stack frames and an ordinary line.
 _CRASH = {
     "event_id": "event_id",
     "line_no": "event_id * 64 + k",
     "service": "concat('svc', cast(event_id % 3 as {text}))",
-    "raw": "case when k = 0 then concat('panic: worker[', cast(user_id as {text}), '] failed') when k <= event_id % 41 then concat(chr(9), 'frame ', cast(k as {text})) else 'back to work' end",
+    "raw": """case when event_id % 97 <> 0 then concat('served user ', cast(user_id as {text})) when k = 0 then concat('panic: worker[', cast(user_id as {text}), '] failed')
+      when k <= event_id % 41 then concat(chr(9), 'frame ', cast(k as {text})) else 'back to work' end""",
 }
+_LAST = "case when event_id % 97 = 0 then event_id % 41 + 1 else 0 end"
 
 
 def expressions(columns: dict[str, str], text: str) -> list[str]:
@@ -37,7 +39,7 @@ def select_sql(columns: dict[str, str], source: str) -> str:
 
 
 SQL_LINES = select_sql(_LINE, "(" + select_sql({"event_id": "event_id", "ts": "ts", "t": "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')"} | _PARTS, "events") + ")")
-SQL_CRASHES = select_sql(_CRASH | {"t_ms": "epoch_us(ts) // 1000 + k"}, "(select event_id, user_id, ts, unnest(range(0, event_id % 41 + 2)) as k from events where event_id % 97 = 0)")
+SQL_CRASHES = select_sql(_CRASH | {"t_ms": "epoch_us(ts) // 1000 + k"}, "(select event_id, user_id, ts, unnest(range(0, " + _LAST + " + 1)) as k from events)")
 
 
 def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +53,6 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id, line_no, service, t_ms, raw): a crash with its stack trace for each fatal event."""
-    own = events_table(spark, sf_dir).filter("event_id % 97 = 0").selectExpr("event_id", "user_id", "ts", "explode(sequence(0, cast(event_id % 41 + 1 as int))) as k")
+    """(event_id, line_no, service, t_ms, raw): the log of three services, with a crash and its stack trace for each fatal event."""
+    own = events_table(spark, sf_dir).selectExpr("event_id", "user_id", "ts", f"explode(sequence(0, cast({_LAST} as int))) as k")
     return own.selectExpr(*expressions(_CRASH, "string"), "unix_millis(cast(ts as timestamp)) + k as t_ms")
