@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a groupBy with map-side combine and a join, so a hub of many edges costs no more than its rows;
-nothing but two numbers per round reaches the driver.
+Every step is a groupBy with map-side combine and a join whose keys are salted, so the edges of a hub are dealt to
+several tasks; nothing but two numbers per round reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,16 +12,27 @@ from pyspark.sql import functions as F
 from ._common import materialise
 
 
+#: Tasks that the edges of one node are dealt to.
+SALTS = 8
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` with the column m of ``least`` for their a."""
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(copies, ["a", "salt"]).drop("salt")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_least(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").filter("b <> m").select("b", "m").toDF("a", "b")
+    moved = _with_least(down, least).filter("b <> m").select("b", "m").toDF("a", "b")
     return moved.unionByName(least.toDF("a", "b"))
 
 
