@@ -112,12 +112,27 @@ def features(docs: DataFrame, bands: int, rows: int, n: int, id_col: str, text_c
     return own.mapInArrow(run, "doc_id long, node binary, size int, bands array<long>, sketch binary")
 
 
-def _blocked(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Copies of the rows of each key for every pair of its blocks: columns (bi, bj, own), own the row's block.
+def _numbered(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows with _pos, a number within their key, and _n, the number of rows of it."""
+    own = Window.partitionBy(key)
+    return rows.withColumn("_pos", F.row_number().over(own.orderBy(order)) - 1).withColumn("_n", F.count("*").over(own))
 
-    A key of m rows has m / BLOCK blocks, so each row is copied that often, at least once.
+
+def _numbered_by_parts(rows: DataFrame, key: str, order: str, parts: int = 64) -> DataFrame:
+    """The same for keys that may have very many rows: numbers within parts of a key, after the counts of the parts before."""
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(parts)))
+    counts = dealt.groupBy(key, "_part").agg(F.count("*").alias("_m"))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = counts.select(key, "_part", before.alias("_before"), F.sum("_m").over(Window.partitionBy(key)).alias("_n"))
+    within = F.row_number().over(Window.partitionBy(key, "_part").orderBy(order))
+    return dealt.join(sizes, [key, "_part"]).withColumn("_pos", F.col("_before") + within - 1).drop("_part", "_before")
+
+
+def _blocked(numbered: DataFrame) -> DataFrame:
+    """Copies of the numbered rows of each key for every pair of its blocks: columns (bi, bj, own), own the row's block.
+
+    A key of m rows has m / BLOCK blocks, so each row is copied that often, at least once; single rows are left out.
     """
-    numbered = rows.withColumn("_pos", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(key)))
     blocks = numbered.filter("_n > 1").withColumn("own", F.floor(F.col("_pos") / BLOCK).cast("int")).withColumn("_nb", F.ceil(F.col("_n") / BLOCK).cast("int"))
     other = blocks.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
     return other.withColumn("bi", F.least("own", "_o")).withColumn("bj", F.greatest("own", "_o")).drop("_pos", "_n", "_nb", "_o")
@@ -203,7 +218,7 @@ def clusters(feats: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # A one-byte minimum agrees by chance once in 256; at the threshold agreement has mean t and error sqrt(t(1-t)/SKETCH).
     floor = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / SKETCH)
     band = feats.select("node", F.explode("bands").alias("band"))
-    shared = _blocked(band, "band", "node")
+    shared = _blocked(_numbered(band, "band", "node"))
     rows = shared.join(feats.select("node", "size", "sketch"), "node")
     keys = ["band", "bi", "bj"]
 
@@ -273,10 +288,10 @@ def _compare(sets: list[np.ndarray], weight: np.ndarray, own: np.ndarray, same:
     return linked.sum(axis=1), (linked.astype(np.float64) @ weight).astype(np.int64), forest(len(sets), *np.nonzero(np.triu(linked)))
 
 
-def verify(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def verify(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Links decided on full sets: rows (node, other, texts, docs).
 
-    ``members`` has (node, component, copies, grams).  A row says that the node has so many linked classes and
+    ``members`` has (node, component, copies), ``sets`` (node, grams); blocks are laid out before the sets join.  A row says that the node has so many linked classes and
     documents within one block pair, and that ``other`` is in the same component (the node itself if none is).
     """
     keys = ["component", "bi", "bj"]
@@ -297,7 +312,7 @@ def verify(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             at = np.flatnonzero(texts)
             yield pa.RecordBatch.from_arrays([node.take(pa.array(at)), node.take(pa.array(root[at])), pa.array(texts[at]), pa.array(docs[at])], ["node", "other", "texts", "docs"])
 
-    blocked = _blocked(members, "component", "node")
+    blocked = _blocked(_numbered_by_parts(members, "component", "node")).join(sets, "node")
     ordered = blocked.repartition(*keys).sortWithinPartitions(*keys)
     return ordered.select("node", "copies", "grams", "own", *keys).mapInArrow(run, "node binary, other binary, texts long, docs long")
 
@@ -334,8 +349,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS,
         ids = F.broadcast(ids)
     own = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).cast("string").alias("text"))
     texts = own.join(ids, own["least"].eqNullSafe(ids["least"]), "left_semi")
-    members = gram_sets(texts, n).join(chosen.select("node", "component", "copies"), "node").dropDuplicates(["node"])
-    links = materialise(verify(members, threshold), "links")
+    sets = gram_sets(texts, n).dropDuplicates(["node"])  # ids may be repeated
+    links = materialise(verify(chosen.select("node", "component", "copies"), sets, threshold), "links")
     component = connected_components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = links.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     linked = component.join(classes.select("node", "least"), "node")
