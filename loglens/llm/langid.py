@@ -24,6 +24,8 @@ from ._common import chunks, mix64
 #: Places in a profile, and most frequent n-grams of a document that are compared.
 PROFILE = 400
 UNKNOWN = "und"
+#: Bytes of text handled at a time: the arrays made of them fit a core's cache.
+CHUNK = 1 << 17
 _BITS = np.uint64(40)
 _MASK = np.uint64((1 << 40) - 1)
 _letter: list[np.ndarray] = []
@@ -110,7 +112,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
                 g, n = kept.pop(lang)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-        for part in chunks(batches, text_col):
+        for part in chunks(batches, text_col, CHUNK):
             langs = np.asarray(part.column(lang_col).to_pylist(), dtype=object)
             row, gram, n = ngrams(part.column(text_col).to_pylist())
             for lang in dict.fromkeys(langs.tolist()):
@@ -139,7 +141,7 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", keep:
     shared = docs.sparkSession.sparkContext.broadcast(profiles)  # at most languages x size entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, source):
+        for part in chunks(batches, source, CHUNK):
             lang, score = shared.value.predict(part.column(source).to_pylist())
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score)], [*keep, *into])
 
