@@ -26,7 +26,7 @@ from ._common import mix64, powers, prefix_hash, span_hash
 
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", dtype=np.uint8)
 WINDOW, PIECES, RUN, LEVELS = 7, 64, 4, 40
-BATCH = 1 << 20
+BATCH = 1 << 18
 
 
 def _levels(data: np.ndarray) -> np.ndarray:
