@@ -58,12 +58,12 @@ def bucket_of(doc_id: int | None, buckets: int) -> int:
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slice Arrow batches so that each slice has about ``limit`` bytes of text, and one row at least."""
+    """Slice Arrow batches so that each slice has about ``limit`` bytes of text, and 1 to 32,768 rows."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        block = np.cumsum(size, dtype=np.int64) // limit
+        block = np.cumsum(size, dtype=np.int64) // limit + np.arange(len(size)) // 32768  # rows are numbered in 16 bits
         cuts = np.flatnonzero(np.diff(block)) + 1
         edges = [0, *cuts.tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:], strict=False):

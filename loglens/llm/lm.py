@@ -192,6 +192,17 @@ def _merge(kept: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def _counted(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct n-grams and distinct words of some texts, with their counts; the arrays in between are freed on return."""
+    stream, begin, words, _ = streams(*text_bytes(column))
+    out = []
+    for own in (keys_of(stream, begin)[0].view(np.int64), words):
+        own = np.sort(own)
+        first = np.flatnonzero(np.diff(own, prepend=~own[:1])) if len(own) else np.zeros(0, np.int64)
+        out.append((own[first], np.diff(first, append=len(own))))
+    return out
+
+
 def count(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(kind, key, n): n-grams (kind 0) and hashed words (kind 1) of all texts, with the end of each text as a word."""
 
@@ -211,12 +222,9 @@ def count(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(n[a : a + (1 << 18)])], ["kind", "key", "n"])
 
         for part in chunks(batches, "text", CHUNK):
-            stream, begin, words, _ = streams(*text_bytes(part.column("text")))
             texts += part.num_rows
-            for kind, own in ((0, keys_of(stream, begin)[0].view(np.int64)), (1, words)):
-                own = np.sort(own)
-                first = np.flatnonzero(np.diff(own, prepend=~own[:1])) if len(own) else np.zeros(0, np.int64)
-                kept[kind].append((own[first], np.diff(first, append=len(own))))
+            for kind, own in enumerate(_counted(part.column("text"))):
+                kept[kind].append(own)
                 yield from give(kind, 1_000_000)
         if texts:
             kept[1].append((np.array([END_KEY]), np.array([texts])))
@@ -329,43 +337,47 @@ def score(docs: DataFrame, training: DataFrame, text_col: str = "text", keep: tu
     keys, logs = keys[order], (np.log10(common["n"].to_numpy()[order] + 0.5) if common else np.zeros(0)) - scale
     shared = spark.sparkContext.broadcast((model, keys, logs))
 
+    def scored_part(part: pa.RecordBatch, scorer: Scorer, uid: int) -> pa.RecordBatch:
+        """One batch of results; the arrays in between are freed on return."""
+        _, common, logs = shared.value
+        rows = part.num_rows
+        stream, begin, words, n = streams(*text_bytes(part.column("_text")))
+        key, text = keys_of(stream, begin)
+        both = np.sort(key << np.uint64(16) | text.astype(np.uint64))
+        gram = both >> np.uint64(16)
+        first = np.flatnonzero(np.diff(gram, prepend=~gram[:1]))
+        each = np.repeat(scorer(gram[first]), np.diff(first, append=len(gram)))
+        logp = np.bincount((both & np.uint64(0xFFFF)).astype(np.int64), weights=each, minlength=rows)
+
+        word = np.concatenate([words, np.full(rows, END_KEY)])
+        owner = np.concatenate([np.repeat(np.arange(rows), n), np.arange(rows)])
+        by = np.argsort(word)
+        word, owner = word[by], owner[by]
+        first = np.flatnonzero(np.diff(word, prepend=~word[:1]))
+        at = np.minimum(np.searchsorted(common, word[first]), max(len(common) - 1, 0))
+        is_common = common[at] == word[first] if len(common) else np.zeros(len(first), dtype=bool)
+        value = np.where(is_common, logs[at] if len(common) else 0, 0)
+        times = np.diff(first, append=len(word))
+        own = np.repeat(is_common, times)
+        base = np.bincount(owner, weights=np.repeat(value, times), minlength=rows)
+        known = np.bincount(owner[own], minlength=rows)
+        rare, whose = word[~own], owner[~own]
+        rare = rare[np.argsort(whose, kind="stable")]
+        off = np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=rows))]).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [*(part.column(c) for c in keep), pa.array(np.arange(uid, uid + rows)), pa.array(n + 1), pa.array(known), pa.array(base), pa.array(logp), pa.array(np.diff(begin) - PAD), pa.ListArray.from_arrays(pa.array(off), pa.array(rare))],
+            [*keep, "_uid", "n_tokens", "_known", "_base", "_logp", "_bytes", "_rare"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         uid = TaskContext.get().partitionId() << 36
         scorer = None
         for part in chunks(batches, "_text", CHUNK):
-            model, common, logs = shared.value
-            scorer = scorer or Scorer(model)
-            rows = part.num_rows
-            stream, begin, words, n = streams(*text_bytes(part.column("_text")))
-            key, text = keys_of(stream, begin)
-            both = np.sort(key << np.uint64(16) | text.astype(np.uint64))
-            gram = both >> np.uint64(16)
-            first = np.flatnonzero(np.diff(gram, prepend=~gram[:1]))
-            each = np.repeat(scorer(gram[first]), np.diff(first, append=len(gram)))
-            logp = np.bincount((both & np.uint64(0xFFFF)).astype(np.int64), weights=each, minlength=rows)
-
-            word = np.concatenate([words, np.full(rows, END_KEY)])
-            owner = np.concatenate([np.repeat(np.arange(rows), n), np.arange(rows)])
-            by = np.argsort(word)
-            word, owner = word[by], owner[by]
-            first = np.flatnonzero(np.diff(word, prepend=~word[:1]))
-            at = np.minimum(np.searchsorted(common, word[first]), max(len(common) - 1, 0))
-            is_common = common[at] == word[first] if len(common) else np.zeros(len(first), dtype=bool)
-            value = np.where(is_common, logs[at] if len(common) else 0, 0)
-            times = np.diff(first, append=len(word))
-            own = np.repeat(is_common, times)
-            base = np.bincount(owner, weights=np.repeat(value, times), minlength=rows)
-            known = np.bincount(owner[own], minlength=rows)
-            rare, whose = word[~own], owner[~own]
-            rare = rare[np.argsort(whose, kind="stable")]
-            off = np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=rows))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in keep), pa.array(np.arange(uid, uid + rows)), pa.array(n + 1), pa.array(known), pa.array(base), pa.array(logp), pa.array(np.diff(begin) - PAD), pa.ListArray.from_arrays(pa.array(off), pa.array(rare))],
-                [*keep, "_uid", "n_tokens", "_known", "_base", "_logp", "_bytes", "_rare"],
-            )
-            uid += rows
+            scorer = scorer or Scorer(shared.value[0])
+            yield scored_part(part, scorer, uid)
+            uid += part.num_rows
 
     own = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[: len(keep)])
