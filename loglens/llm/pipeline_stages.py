@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, langid, neardup, packing, quality
-from ._common import table
+from ._common import materialise, table
 
 #: Language scores below this are no language that was learned (clean texts score about 0.45 to 0.9).
 LEAST_LANGUAGE = 0.25
@@ -47,9 +47,10 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first row of each group of near duplicates.
 
-    Rows are told apart by their place in the written table, so null and repeated ids do no harm.
+    Rows are told apart by a number, so null and repeated ids do no harm.  It is written with them: it depends on how a
+    scan is split, which may change between the jobs that read it.
     """
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     classes = neardup.jaccard_join(rows, id_col="_row")
     dropped = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("_row"))
     if dropped.count() <= BROADCAST_ROWS:

@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from loglens.llm import decontam
+from loglens.llm import decontam, neardup
 from loglens.llm._common import materialise
 
 from .helpers import SMALL, documents, folder, odd_documents
@@ -95,3 +95,25 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     out = stage(spark, documents(spark, rows), SMALL)
     assert sorted(r["text"][:4].split("w")[0] for r in out.collect()) == sorted(f"g{g}" for g in range(20))
     assert len(odd_documents()) == 16
+
+
+def test_near_duplicates_when_scans_are_split_anew(spark, monkeypatch):
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    words = [" ".join(f"t{g}w{k}" for k in range(60)) for g in range(40)]
+    rows = [(i, words[i % 40], "en", "s", 1) for i in range(60)]
+    docs = materialise(documents(spark, rows).repartition(8), "test-split")
+    join = neardup.jaccard_join
+
+    def then_split(*args, **kw):
+        classes = materialise(join(*args, **kw), "test-classes")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        return classes
+
+    monkeypatch.setattr(neardup, "jaccard_join", then_split)
+    try:
+        out = [r["text"] for r in stage(spark, docs, SMALL).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(out) == sorted(words)
