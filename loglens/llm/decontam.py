@@ -5,13 +5,16 @@ with it, all of them on diagonals (text place less item place) of which the oute
 q-gram of a text that some item has is counted in the two overlapping diagonal bands that hold its diagonal; bands are
 twice as wide as their distance, and wider than any k.  Only bands that reach the item's bound are aligned, inside the
 band, and an item counts as leaked if it is found whole within its edit budget.  A longer item is also searched in
-overlapping windows, each as an item of its own, so that a copied part of ``WINDOW`` + ``STEP`` characters is found too;
-``share`` tells how much of the item the found part is.
+windows of ``WINDOW`` characters from every place on, each as an item of its own, so that a copied part of ``WINDOW``
+characters is found wherever it starts; ``share`` tells how much of the item the found part is.  An edit spoils q
+q-grams in a row at most, so a window has at least as many edits as such runs are needed to cover its missing q-grams;
+windows are aligned by this number, rising, until none can be better.
 
 Characters are UTF-8 bytes of the text in lower case with white space runs as single blanks; k is ``rate`` times m.
 
 Items travel to the executors in blocks of a fixed number of bytes.  Defined results: null and empty texts hold no item;
-items without ``least`` characters are too short to tell and are not searched; items with equal texts are each reported;
+items without ``least`` characters must stand in the text without edits and not inside a longer word; items with equal
+texts are each reported;
 null item ids are reported as null; repeated rows are each searched; an empty table on either side gives no leaks;
 texts may be of any length; other columns are passed on unchanged.
 """
@@ -32,9 +35,11 @@ Q = 8
 RATE = 0.1
 LEAST = 32
 #: Characters of a window, and from one to the next.
-WINDOW, STEP = 96, 32
+WINDOW, STEP = 72, 1
 #: Bytes of item text that are sent out at once.
 BLOCK_BYTES = 1 << 20
+#: Bytes that make up words: ASCII letters and digits, and all beyond ASCII.
+IS_WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 LEAKS = "array<struct<item_id:bigint,edits:int,start:bigint,length:bigint,share:double>>"
 
 
@@ -101,6 +106,7 @@ class Index:
     rate: float = RATE
     window: int = WINDOW
     step: int = STEP
+    short_of: int = LEAST
     grams: np.ndarray = field(init=False)
     owner: np.ndarray = field(init=False)
     place: np.ndarray = field(init=False)
@@ -113,7 +119,7 @@ class Index:
         self.stride = int(max(16, self.budget.max(initial=0) + 1))
         data = np.frombuffer(b"".join(self.texts), dtype=np.uint8)
         off = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-        at = np.concatenate([np.arange(a, b - self.q + 1) for a, b in zip(off, off[1:], strict=False)] or [np.zeros(0)]).astype(np.int64)
+        at = np.concatenate([np.arange(a, b - self.q + 1) for a, b in zip(off, off[1:], strict=False) if b - a >= self.short_of] or [np.zeros(0)]).astype(np.int64)
         h = grams_at(data, self.q)[at]
         owner = np.searchsorted(off, at, "right") - 1
         order = np.argsort(h, kind="stable")
@@ -122,12 +128,31 @@ class Index:
         self.distinct, self.times = self.grams[self.first], np.diff(self.first, append=len(h))
         self.seen = np.zeros(1 << 22, dtype=bool)
         self.seen[(self.distinct >> np.uint64(42)).astype(np.int64)] = True
+        # Items too short for edits, by the number of their first bytes that are looked up, and by these bytes.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for i, x in enumerate(self.texts):
+            if 0 < len(x) < self.short_of:
+                head = int(grams_at(np.frombuffer(x[:8], np.uint8), min(len(x), 8))[0])
+                self.short.setdefault(min(len(x), 8), {}).setdefault(head, []).append(i)
 
     def limits(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edit budgets of texts of such sizes, and how many of their q-grams must be left."""
         budget = np.minimum((size * self.rate).astype(np.int64), np.maximum(size // self.q - 1, 0))
         return budget, np.maximum(size + 1 - self.q * (budget + 1), 1)
 
+    def _fewest(self, hit: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+        """Edits that each window has at least (counted up to its budget and one more), from the places that were hit."""
+        missing = np.ones(size + 2 * self.q, dtype=bool)
+        missing[hit] = False
+        place = np.arange(len(missing))
+        following = np.minimum.accumulate(np.where(missing, place, len(missing))[::-1])[::-1]
+        at, out = starts, np.zeros(len(starts), dtype=np.int64)
+        for _ in range(int(self.window_budget) + 1):
+            gap = following[np.minimum(at, size)]
+            out += gap <= starts + self.window - self.q
+            at = gap + self.q
+        return out
+
     def _place(self, pattern: bytes, budget: int, text: bytes, diagonals: np.ndarray) -> tuple[int, int, int] | None:
         """(edits, start, length) of the best place of the pattern around the diagonals of its q-grams."""
         values, often = np.unique(diagonals, return_counts=True)
@@ -139,14 +164,39 @@ class Index:
         got = locate(pattern, text[cut : high + len(pattern) + budget], low - cut, high - cut, budget)
         return got and (got[0], got[1] + cut, got[2])
 
+    def _search_short(self, texts: list[bytes], data: np.ndarray, off: np.ndarray, found: list[dict]) -> None:
+        """Adds the first place of each short item that stands in a text whole and not inside a longer word."""
+        for n, heads in self.short.items():
+            values = np.sort(np.array(list(heads), dtype=np.uint64))
+            h = grams_at(data, n)
+            at = np.flatnonzero(values[np.minimum(np.searchsorted(values, h), len(values) - 1)] == h)
+            doc = np.searchsorted(off, at, "right") - 1
+            for d, start, head in zip(doc.tolist(), (at - off[doc]).tolist(), h[at].tolist(), strict=True):
+                text = texts[d]
+                for i in heads[head]:
+                    item, end = self.texts[i], start + len(self.texts[i])
+                    if i in found[d] or not text.startswith(item, start):
+                        continue
+                    cut_before = item[0] < 128 and IS_WORD[item[0]] and start and IS_WORD[text[start - 1]]
+                    cut_after = item[-1] < 128 and IS_WORD[item[-1]] and end < len(text) and IS_WORD[text[end]]
+                    if not cut_before and not cut_after:
+                        found[d][i] = (False, 0, start, len(item))
+
     def search(self, texts: list[bytes]) -> list[list[dict]]:
         """The leaked items of each normalised text, by item id."""
         found: list[dict[int, tuple[bool, int, int, int]]] = [{} for _ in texts]  # by item: in part, edits, start, length
         size = np.array([len(t) for t in texts], dtype=np.int64)
         off = np.concatenate([[0], np.cumsum(size)])
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        if len(data) < self.q or not len(self.grams):
-            return [[] for _ in texts]
+        self._search_short(texts, data, off, found)
+        if len(data) >= self.q and len(self.grams):
+            self._search_long(texts, data, off, found)
+        name = lambda i: (self.ids[i] is None, self.ids[i] or 0)
+        leak = lambda i, part, edits, start, length: {"item_id": self.ids[i], "edits": edits, "start": start, "length": length, "share": self.window / len(self.texts[i]) if part else 1.0}
+        return [[leak(i, *f[i]) for i in sorted(f, key=name)] for f in found]
+
+    def _search_long(self, texts: list[bytes], data: np.ndarray, off: np.ndarray, found: list[dict]) -> None:
+        """Adds the best place of each item that is found within its edits, or in part."""
         h = grams_at(data, self.q)
         at = np.flatnonzero(self.seen[h >> np.uint64(42)])
         row = np.minimum(np.searchsorted(self.distinct, h[at]), len(self.distinct) - 1)
@@ -180,23 +230,23 @@ class Index:
             distinct = np.unique(places)  # the same place may have been hit again
             if len(distinct) >= self.bound[i] and (got := self._place(pattern, int(self.budget[i]), text, diagonals)):
                 best = min(best, (False, *got))
-            if best[0] and best[1] and len(pattern) > self.window:
+            if best[0] and best[1] and len(pattern) > self.window and len(distinct) >= self.window_bound:
                 starts = np.array([*range(0, len(pattern) - self.window, self.step), len(pattern) - self.window])
-                here = np.searchsorted(distinct, starts + self.window - self.q + 1) - np.searchsorted(distinct, starts)
-                for w in starts[here >= self.window_bound].tolist():
+                fewest = self._fewest(distinct, starts, len(pattern))
+                order = np.argsort(fewest, kind="stable")
+                for w, lower in zip(starts[order].tolist(), fewest[order].tolist(), strict=True):
+                    if lower >= best[1] or lower > self.window_budget:
+                        break
                     own = (places >= w) & (places <= w + self.window - self.q)
                     if got := self._place(pattern[w : w + self.window], int(self.window_budget), text, diagonals[own] + w):
                         best = min(best, (True, *got))
             if best[1] < 1 << 30:
                 found[d][i] = best
-        name = lambda i: (self.ids[i] is None, self.ids[i] or 0)
-        leak = lambda i, part, edits, start, length: {"item_id": self.ids[i], "edits": edits, "start": start, "length": length, "share": self.window / len(self.texts[i]) if part else 1.0}
-        return [[leak(i, *f[i]) for i in sorted(f, key=name)] for f in found]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, least: int, limit: int) -> Iterator[list[tuple[int | None, str]]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[int | None, str]]]:
     """The items in blocks of about ``limit`` bytes; only one block at a time is on the driver."""
-    own = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).filter(F.octet_length("t") >= least)
+    own = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).filter(F.octet_length("t") > 0)
     total = own.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = -(-total // limit)
     for b in range(n):
@@ -206,8 +256,8 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, least: int, limit:
 def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = Q, rate: float = RATE, least: int = LEAST, into: str = "leaks", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with a column ``into``: the leaked items of each row, with edits, start and length in the normalised text, and share."""
     out = docs.withColumn(into, F.array().cast(LEAKS))
-    for n, block in enumerate(_blocks(benchmark, item_id, item_text, least, block_bytes)):
-        pairs = [(i, x) for i, t in block if len(x := normalise(t)) >= least]
+    for n, block in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):
+        pairs = [(i, x) for i, t in block if (x := normalise(t))]
         if not pairs:
             continue
         shared = docs.sparkSession.sparkContext.broadcast(([i for i, _ in pairs], [x for _, x in pairs]))
@@ -216,7 +266,7 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
         def run(batches: Iterator[pa.RecordBatch], shared=shared, names=names) -> Iterator[pa.RecordBatch]:
             index = None
             for part in chunks(batches, text_col):
-                index = index or Index(*shared.value, q=q, rate=rate)
+                index = index or Index(*shared.value, q=q, rate=rate, short_of=least)
                 got = index.search([normalise(t) for t in part.column(text_col).to_pylist()])
                 leaks = part.column(into)
                 if n:

@@ -335,6 +335,27 @@ def test_leaked_parts(spark):
     assert got == {1: decontam.WINDOW / len(item), 2: decontam.WINDOW / len(item), 4: decontam.WINDOW / len(item), 5: 1.0}
 
 
+def test_leaked_parts_from_every_place():
+    rng = random.Random(16)
+    item = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(50)).encode()
+    index = decontam.Index([9], [item])
+    n = decontam.WINDOW
+    assert n <= 72
+    for a in range(0, len(item) - n + 1):
+        copied = item[a : a + n]
+        changed = copied[:30] + b"#" + copied[31:50] + copied[52:]
+        got = [x[0] for x in index.search([b"before it " + copied + b" and after", b"before it " + changed + b" and after"])]
+        assert got[0]["edits"] == 0 and 0 < got[1]["edits"] <= 3 and got[0]["share"] == n / len(item), a
+
+
+def test_short_items_are_searched_exactly(spark):
+    items = [(1, "To be?"), (2, "x"), (3, "a phrase of under 32 bytes"), (4, "\u4f60\u597d"), (5, "  "), (None, "X")]
+    docs = [(0, "said: to  be? yes"), (1, "unto be? box"), (2, "an x."), (3, "A phrase of\nunder 32 bytes"), (4, "a phrase of under 33 bytes"), (5, "\u55ef\u4f60\u597d\u5417"), (6, None), (7, "caf\u00e9x")]
+    out = decontam.mark_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r["doc_id"]: [(x["item_id"], x["edits"], x["start"], x["length"], x["share"]) for x in r["leaks"]] for r in out.collect() if r["leaks"]}
+    assert got == {0: [(1, 0, 6, 6, 1.0)], 2: [(2, 0, 3, 1, 1.0), (None, 0, 3, 1, 1.0)], 3: [(3, 0, 0, 26, 1.0)], 5: [(4, 0, 3, 6, 1.0)]}
+
+
 def test_alignment_stays_in_its_band():
     rng = random.Random(2)
     for _ in range(200):
