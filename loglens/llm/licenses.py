@@ -1,9 +1,11 @@
 """Licence recognition from sentences: known sentences get identifiers, ordered rules match identifier sequences.
 
 All of it is DataFrame expressions.  A text is cut at line ends and after ``.``, ``!`` or ``?`` followed by
-white space; a sentence is lower-cased, everything but ASCII letters and digits becomes one space, and the
-result is looked up whole.  What isn't a known sentence is left out of the sequence, so notices may stand
-among other prose; the sentences of a rule must follow one another in the sequence, in the rule's order.
+white space; a piece is lower-cased, and everything but ASCII letters and digits becomes one space.  A known
+sentence is one piece or, as licences are wrapped, several that follow one another, if none but the last ends
+with ``.``, ``!`` or ``?`` and none is empty; of sentences that begin at the same piece the longest counts.
+What isn't a known sentence is left out of the sequence, so notices may stand among other prose; the
+sentences of a rule must follow one another in the sequence, in the rule's order.
 
 Defined results: null and empty texts match nothing and give no row; a row that occurs twice gives its matches
 twice; an empty table gives no rows; other columns of the input, of whatever name, are dropped.  A rule that is
@@ -23,6 +25,7 @@ SENTENCES = {
     "MIT-GRANT": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "MIT-CONDITION": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "APACHE-NOTICE": "licensed under the apache license version 2 0",
+    "APACHE-GRANT": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
     "APACHE-COMPLIANCE": "you may not use this file except in compliance with the license",
     "APACHE-COPY": "you may obtain a copy of the license at",
     "GPL3-NOTICE": "this work is licensed under the gnu general public license version 3",
@@ -42,9 +45,11 @@ SENTENCES = {
 RULES = [
     ("mit-notice", "MIT", ["MIT-NOTICE"]),
     ("mit-licensed", "MIT", ["MIT-LICENSED"]),
+    ("mit-title", "MIT", ["MIT-TITLE"]),
     ("mit-text", "MIT", ["MIT-GRANT", "MIT-CONDITION"]),
     ("apache-notice", "Apache-2.0", ["APACHE-NOTICE"]),
     ("apache-header", "Apache-2.0", ["APACHE-NOTICE", "APACHE-COMPLIANCE", "APACHE-COPY"]),
+    ("apache-header-text", "Apache-2.0", ["APACHE-GRANT", "APACHE-COPY"]),
     ("gpl3-notice", "GPL-3.0", ["GPL3-NOTICE"]),
     ("gpl2-notice", "GPL-2.0", ["GPL2-NOTICE"]),
     ("gpl3-header", "GPL-3.0-or-later", ["GPL-FREE", "GPL-WARRANTY", "GPL-COPY"]),
@@ -58,26 +63,42 @@ RULES = [
 TRIGGERS = "(?i)licen|copyright|permi|redistribut|rights|warranty"
 
 
-def sentences(text: Column) -> Column:
-    """The sentences of a text in order, normalised."""
-    cut = F.split(F.regexp_replace(text, r"([.!?])[ \t\r]+", "$1\n"), "\n")
-    return F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+def pieces(text: Column) -> Column:
+    """The pieces of a text, normalised, each behind a line end, or behind ``|`` if the one before it ends a sentence."""
+    cut = F.regexp_replace(F.lower(F.translate(text, "|", " ")), r"([.!?])[ \t\r]+", "$1\n")
+    plain = F.regexp_replace(F.regexp_replace(cut, r"[.!?]\n", "|"), r"[^a-z0-9\n|]+", " ")
+    return F.concat(F.lit("|"), F.regexp_replace(F.trim(plain), r" *([\n|]) *", "$1"))
+
+
+def known_sentences(text: Column, known: dict[str, str]) -> Column:
+    """The known sentences of a text in order: the number of the first and the last piece, and the identifier."""
+    ids = F.create_map(*[F.lit(x) for k, v in known.items() for x in (v, k)])
+    words = "|".join(s.replace(" ", "[ \n]") for s in sorted(known.values(), key=len, reverse=True))
+    parts = F.split(F.regexp_replace(pieces(text), rf"(?<=[\n|])(?:{words})(?![^\n|])", "\x02$0\x02"), "\x02")
+    ends = lambda s: F.length(s) - F.length(F.translate(s, "\n|", ""))
+    none = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<at:int,s:string,to:int>>").alias("k"))
+
+    def add(done: Column, part: Column) -> Column:
+        to = (done["at"] + ends(part)).cast("int")
+        name = F.element_at(ids, F.translate(part, "\n", " "))
+        own = F.array(F.struct(done["at"].alias("at"), name.alias("s"), to.alias("to")))
+        return F.struct(to.alias("at"), F.when(name.isNull(), done["k"]).otherwise(F.concat(done["k"], own)).alias("k"))
+
+    return F.aggregate(parts, none, add, lambda done: done["k"])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] = SENTENCES, rules: list[tuple[str, str, list[str]]] = RULES, triggers: str | None = TRIGGERS) -> DataFrame:
     """Every place where a rule matches.
 
-    Columns: the id, license, rule, first_sentence and last_sentence (0-based numbers among all sentences of the
+    Columns: the id, license, rule, first_sentence and last_sentence (0-based numbers among all pieces of the
     text), n_known (known sentences in the text), longest (no longer rule matches around this place).
     ``triggers`` must match some part of every known sentence; None looks at all texts.
     """
-    ids = F.create_map(*[F.lit(x) for k, v in known.items() for x in (v, k)])
-    numbered = F.transform(sentences(F.col("_t")), lambda s, i: F.struct(i.alias("at"), F.element_at(ids, s).alias("s")))
     table = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(lic).alias("license"), F.lit("|" + "|".join(seq) + "|").alias("seq"), F.lit(len(seq)).alias("size")) for r, lic, seq in rules])
 
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     own = own.filter(F.col("_t").rlike(triggers) if triggers else F.col("_t").isNotNull())
-    own = own.select("_id", F.filter(numbered, lambda x: x["s"].isNotNull()).alias("k")).filter(F.size("k") > 0)
+    own = own.select("_id", known_sentences(F.col("_t"), known).alias("k")).filter(F.size("k") > 0)
     tail = lambda i, n: F.concat(F.lit("|"), F.concat_ws("|", F.transform(F.slice("k", i, n), lambda x: x["s"])), F.lit("|"))
     hits = F.flatten(F.transform("k", lambda _, i: F.transform(F.filter(table, lambda r: tail(i + 1, r["size"]) == r["seq"]), lambda r: F.struct(r["rule"].alias("rule"), r["license"].alias("license"), (i + 1).alias("first"), (i + r["size"]).alias("last")))))
     found = own.select("_id", "k", hits.alias("h")).select("_id", "k", "h", F.explode("h").alias("m"))
@@ -87,14 +108,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
         F.col("m.license").alias("license"),
         F.col("m.rule").alias("rule"),
         F.element_at("k", F.col("m.first"))["at"].alias("first_sentence"),
-        F.element_at("k", F.col("m.last"))["at"].alias("last_sentence"),
+        F.element_at("k", F.col("m.last"))["to"].alias("last_sentence"),
         F.size("k").alias("n_known"),
         (~covered).alias("longest"),
     )
 
 
 def scan_sql(source: str = "documents", known: dict[str, str] = SENTENCES, rules: list[tuple[str, str, list[str]]] = RULES, triggers: str = TRIGGERS) -> str:
-    """The same rows as ``scan`` in DuckDB SQL, built the other way round: sentences as rows, rules by self-joins of the sequence."""
+    """The same rows as ``scan`` in DuckDB SQL for texts whose known sentences stand on one line each, built the other way round: sentences as rows, rules by self-joins of the sequence."""
     k = ", ".join(f"('{a}', '{b}')" for a, b in known.items())
     r = ", ".join(f"('{a}', '{b}', '{'|'.join(c)}', {len(c)})" for a, b, c in rules)
     return f"""

@@ -47,6 +47,58 @@ def test_licenses(spark, clash):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+"""
+MIT = """The MIT License (MIT)
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in
+all copies or substantial portions of the Software.
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+
+
+def test_wrapped_licenses(spark):
+    broken = ["All rights\n\nreserved.", "All rights.\nReserved", "We say all\nrights reserved", "All\nrights reserved for us"]
+    texts = [APACHE, MIT, GPL, BSD, APACHE.replace("\n", "\r\n"), "Prose.\nAll|rights\nreserved.\nProse", *broken]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = sorted((r["doc_id"], r["rule"], r["first_sentence"], r["last_sentence"], r["n_known"]) for r in rows)
+    want = [(0, "apache-header-text", 0, 2, 2), (1, "mit-text", 4, 12, 3), (1, "mit-title", 0, 0, 3), (2, "gpl3-header", 0, 9, 3), (3, "bsd-text", 0, 9, 3), (4, "apache-header-text", 0, 3, 2), (5, "all-rights-reserved", 1, 2, 1)]
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert got[:3] == want[:3] and got[-1] == want[-1]
+
+
 def test_licenses_match_sql_and_use_no_python(spark):
     import duckdb
 
