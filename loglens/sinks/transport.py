@@ -73,11 +73,11 @@ class Collector:
 
 @dataclass
 class Webhook:
-    """Posts payloads to addresses without retries; of a burst only so many are taken, the newest are dropped and counted."""
+    """Posts payloads to addresses without retries; with ``most``, only so many of a batch are taken, the newest are dropped and counted."""
 
     urls: list[str]
     headers: dict[str, str] = field(default_factory=dict)
-    most: int = 256
+    most: int | None = None
     post: Post = http_post
     sent: int = 0
     failed: int = 0
@@ -85,7 +85,7 @@ class Webhook:
 
     def send(self, payloads: Iterable[str]) -> None:
         for i, p in enumerate(payloads):
-            if i >= self.most:
+            if self.most is not None and i >= self.most:
                 self.dropped += 1
                 continue
             for url in self.urls:

@@ -68,6 +68,13 @@ def test_collector_retries():
     assert [transport.wait_ms(i) for i in (1, 2, 7)] == [100, 200, 5000] and not transport.retryable(404)
 
 
+def test_webhook_sends_the_whole_batch():
+    got = []
+    w = transport.Webhook(["http://w"], post=lambda u, b, h: got.append(b) or 200)
+    w.send(str(i) for i in range(1000))
+    assert got == [str(i).encode() for i in range(1000)] and (w.sent, w.dropped) == (1000, 0)
+
+
 def test_dispatch(spark, tmp_path):
     hooks, sent, stopped = [], [], []
     d = dispatch.Dispatcher(folder=str(tmp_path / "out"), webhook=transport.Webhook(["http://w"], most=1, post=lambda u, b, h: hooks.append(json.loads(b)) or 200), collector=transport.Collector("https://c", post=lambda u, b, h: sent.append(b) or 200), stop=lambda: stopped.append(1))
