@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes handled at a time by the vectorised operators; one longer text is handled alone.
 CHUNK_BYTES = 1 << 18
@@ -52,6 +53,36 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have yet, whatever the case of its own names."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Rows of one key that meet in one task of ``join_counted``, at least; and most keys that may have more.
+HOT_ROWS, HOT_KEYS = 1 << 14, 1 << 17
+
+
+def join_counted(many: DataFrame, one: DataFrame, key: str, count: str, spread: str) -> DataFrame:
+    """``many`` joined to ``one``, which has a row for each key and in ``count`` the number of rows that ``many`` has of it.
+
+    Keys of more than ``HOT_ROWS`` rows are few, at most HOT_KEYS: their rows are dealt to several tasks by the hash of
+    ``spread``, and their row of ``one`` is copied as often.  ``one`` must be stable, as it is read twice.
+    """
+    total = one.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = max(HOT_ROWS, -(-total // HOT_KEYS))
+    salts = F.ceil(F.col(count) / hot).cast("int")
+    heavy = one.filter(F.col(count) > hot).select(key, salts.alias("_salts"))
+    if heavy.isEmpty():
+        return many.join(one, key)
+    dealt = many.join(F.broadcast(heavy), key, "left")
+    dealt = dealt.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
+    copied = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(count) > hot, salts - 1).otherwise(0))))
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+
+
 def bucket_of(doc_id: int | None, buckets: int) -> int:
     """crc32 of the id written as text, modulo ``buckets``; a missing id counts as the empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % buckets

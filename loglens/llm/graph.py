@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a groupBy with map-side combine and a join whose keys are salted, so the edges of a hub are dealt to
-several tasks; nothing but two numbers per round reaches the driver.
+Every step is a groupBy with map-side combine and a join that deals the edges of a hub to several tasks, the more the
+larger the hub is; nothing but two numbers per round reaches the driver.
 """
 
 from __future__ import annotations
@@ -9,31 +9,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import HOT_ROWS, join_counted, materialise
 
 
-#: Tasks that the edges of one node are dealt to.
-SALTS = 8
+def _with_least(edges: DataFrame, of: DataFrame, hubs: bool) -> DataFrame:
+    """``edges`` with the least b that their a has among the edges ``of``, as m."""
+    least = of.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    if not hubs:
+        return edges.join(least, "a")
+    return join_counted(edges, materialise(least, "least"), "a", "n", "b")
 
 
-def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """``edges`` with the column m of ``least`` for their a."""
-    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return dealt.join(copies, ["a", "salt"]).drop("salt")
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, hubs: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return _with_least(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_least(both.filter("b > a"), both, hubs).select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hubs: bool) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = _with_least(down, least).filter("b <> m").select("b", "m").toDF("a", "b")
-    return moved.unionByName(least.toDF("a", "b"))
+    moved = _with_least(down, down, hubs).filter("b <> m").select("b", "m").toDF("a", "b")
+    return moved.unionByName(down.groupBy("a").agg(F.min("b").alias("b")))
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -43,13 +38,14 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     are allowed.  An edge list without rows gives none.
     """
     now = materialise(edges.toDF("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
+    mark, size = None, now.count()
     for _ in range(rounds):
-        now = materialise(_small_star(_large_star(now)).filter("a <> b").distinct(), "edges")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
+        hubs = 2 * size > HOT_ROWS  # fewer edges have no node that has more
+        now = materialise(_small_star(_large_star(now, hubs), hubs).filter("a <> b").distinct(), "edges")
+        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if seen == mark:
             break
-        mark = tuple(seen)
+        mark, size = seen, seen[0]
     else:
         raise RuntimeError(f"components did not settle within {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -3,14 +3,17 @@
 Words are runs of bytes other than ASCII white space, with A-Z in lower case; a text's n-grams are the distinct
 runs of ``n`` words (all its words if it has fewer).  Texts of equal n-gram sets form one *text class* and are
 joined through one representative, so copies cost one row each.  Band and row counts are chosen for the target
-recall at the threshold; band hashes are shuffled, and every pair of classes that shares a band is verified on
-the full n-gram sets.  No pair is emitted twice and no list of all pairs of a group is ever built: a group is cut
-into blocks, block pairs are compared as matrices, and what leaves a block pair is a number of links per class
-and a spanning forest of the links.
+recall at the threshold; classes that share a band hash are candidates, and every pair of them is verified once,
+in the first band that the two share, on the full n-gram sets.
 
-Stages: (1) features; (2) bands with more than one class; (3) inside each band's blocks, pairs whose sketches
-rule out the threshold are left out and a forest of the others gives candidate clusters; (4) cluster blocks are
-compared on full sets.  Only stage 4 decides.
+Stages: (1) features; (2) bands that more than one class has; (3) inside each of them, pairs that share an earlier
+band or whose sketches rule out the threshold are left out, with no more than hashes at hand; (4) n-gram sets travel
+only to groups where they have a pair left, and are compared; (5) connected components of the links.
+
+So work follows the pairs that share bands, not the size of components: a chain of texts costs as much a text as a
+pair does.  A band that many classes have is cut into blocks by hash; a pair of blocks is compared as matrices, what
+leaves stage 3 is a row with a bit for each other row of the pair of blocks, and what leaves stage 4 a number of links
+per class and a spanning forest of them.  No list of all pairs of a group is ever built.
 
 Defined results: texts without any word (null, empty, white space) have equal, empty sets and form one class;
 a null id is kept as null and never becomes a class id unless all ids of the class are null; repeated rows and
@@ -27,10 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, chunks, materialise, mix64, prefix_hash, span_hash, text_bytes, token_spans
+from ._common import LOWER, chunks, join_counted, materialise, mix64, prefix_hash, span_hash, text_bytes, token_spans
 from .graph import connected_components
 
 THRESHOLD = 0.8
@@ -39,9 +42,9 @@ WORDS = 5
 SKETCH = 128
 #: Sketches this far (in standard errors) below the threshold rule a pair out.
 SLACK = 6.0
-#: Classes in a block.
-BLOCK = 512
-RECALL = 0.9995
+#: Classes in a block, on average.
+BLOCK = 128
+RECALL = 0.99999
 #: Ids that may be broadcast (8 MB); more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -112,30 +115,24 @@ def features(docs: DataFrame, bands: int, rows: int, n: int, id_col: str, text_c
     return own.mapInArrow(run, "doc_id long, node binary, size int, bands array<long>, sketch binary")
 
 
-def _numbered(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows with _pos, a number within their key, and _n, the number of rows of it."""
-    own = Window.partitionBy(key)
-    return rows.withColumn("_pos", F.row_number().over(own.orderBy(order)) - 1).withColumn("_n", F.count("*").over(own))
-
+def shared_bands(classes: DataFrame) -> DataFrame:
+    """(band, node, blocks) of the bands that several classes have, and the number of blocks that a band is cut into.
 
-def _numbered_by_parts(rows: DataFrame, key: str, order: str, parts: int = 64) -> DataFrame:
-    """The same for keys that may have very many rows: numbers within parts of a key, after the counts of the parts before."""
-    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(parts)))
-    counts = dealt.groupBy(key, "_part").agg(F.count("*").alias("_m"))
-    before = F.coalesce(F.sum("_m").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = counts.select(key, "_part", before.alias("_before"), F.sum("_m").over(Window.partitionBy(key)).alias("_n"))
-    within = F.row_number().over(Window.partitionBy(key, "_part").orderBy(order))
-    return dealt.join(sizes, [key, "_part"]).withColumn("_pos", F.col("_before") + within - 1).drop("_part", "_before")
+    Bands are counted before anything else moves; the rows of a band that very many classes have are dealt to several tasks.
+    """
+    band = classes.select("node", F.explode("bands").alias("band"))
+    counts = materialise(band.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1"), "bands")
+    return join_counted(band, counts, "band", "m", "node").select("band", "node", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
 
 
-def _blocked(numbered: DataFrame) -> DataFrame:
-    """Copies of the numbered rows of each key for every pair of its blocks: columns (bi, bj, own), own the row's block.
+def _blocked(shared: DataFrame) -> DataFrame:
+    """Copies of the rows of each band for every pair of its blocks: columns (bi, bj, own), own the row's block.
 
-    A key of m rows has m / BLOCK blocks, so each row is copied that often, at least once; single rows are left out.
+    Blocks are chosen by hash, so nothing has to be numbered; a row is copied as often as its band has blocks.
     """
-    blocks = numbered.filter("_n > 1").withColumn("own", F.floor(F.col("_pos") / BLOCK).cast("int")).withColumn("_nb", F.ceil(F.col("_n") / BLOCK).cast("int"))
-    other = blocks.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    return other.withColumn("bi", F.least("own", "_o")).withColumn("bj", F.greatest("own", "_o")).drop("_pos", "_n", "_nb", "_o")
+    own = shared.withColumn("own", F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int"))
+    other = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.withColumn("bi", F.least("own", "_o")).withColumn("bj", F.greatest("own", "_o")).drop("blocks", "_o")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
@@ -190,16 +187,46 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _candidate_pairs(sketch: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarray, floor: float, threshold: float) -> np.ndarray:
-    """Which of the pairs (low, high) the sketches and sizes don't rule out."""
-    a, b = size[low], size[high]
-    fits = np.minimum(a, b) >= threshold * np.maximum(a, b)
-    out = np.zeros(len(low), dtype=bool)
-    at = np.flatnonzero(fits)
-    for k in range(0, len(at), 65536):
-        own = at[k : k + 65536]
-        out[own] = (sketch[low[own]] == sketch[high[own]]).mean(axis=1) >= floor
-    return out
+class _Group:
+    """Arrays of the rows of one batch in stage 3."""
+
+    def __init__(self, batch: pa.RecordBatch, floor: float, threshold: float) -> None:
+        n = batch.num_rows
+        self.size, self.own = batch.column("size").to_numpy(), batch.column("own").to_numpy()
+        self.sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(n, SKETCH)
+        self.bands = batch.column("bands").flatten().to_numpy().reshape(n, -1)
+        self.number = (self.bands == batch.column("band").to_numpy()[:, None]).argmax(axis=1)  # which of its bands a group shares
+        self.floor, self.threshold = floor, threshold
+
+    def alike(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Which of the pairs the sizes and sketches don't rule out."""
+        a, b = self.size[low], self.size[high]
+        out = np.minimum(a, b) >= self.threshold * np.maximum(a, b)
+        at = np.flatnonzero(out)
+        for k in range(0, len(at), 65536):
+            own = at[k : k + 65536]
+            out[own] = (self.sketch[low[own]] == self.sketch[high[own]]).mean(axis=1) >= self.floor
+        return out
+
+    def first_here(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Which of the pairs share no earlier band than that of their group."""
+        out = np.ones(len(low), dtype=bool)
+        for k in range(0, len(low), 65536):
+            a, b = low[k : k + 65536], high[k : k + 65536]
+            out[k : k + 65536] = (self.bands[a] == self.bands[b]).argmax(axis=1) == self.number[a]
+        return out
+
+    def pairs_of(self, a: int, b: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a large group, those that share an earlier band left out by whole matrices."""
+        own = self.own[a:b]
+        open_ = np.triu(np.ones((b - a, b - a), dtype=bool), 1) if same else np.triu(own[:, None] != own[None, :], 1)
+        for k in range(int(self.number[a])):
+            if not open_.any():
+                break
+            column = self.bands[a:b, k]
+            open_ &= column[:, None] != column[None, :]
+        i, j = np.nonzero(open_)
+        return i + a, j + a
 
 
 def _pairs(own: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -210,59 +237,94 @@ def _pairs(own: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(left, len(right)), np.tile(right, len(left))
 
 
-def clusters(feats: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, component) of the classes that share a band with another one that the sketches don't rule out.
+KEYS = ["band", "bi", "bj"]
+#: Groups of more rows are handled as matrices, smaller ones together as lists of pairs.
+SMALL = 24
 
-    ``feats`` has one row per class.
+
+def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(band, bi, bj, pos, node, mask): the classes of each pair of blocks that have pairs left, their place there, and a bit for
+    every place that they make a pair with.
+
+    ``classes`` has one row per class.
     """
     # A one-byte minimum agrees by chance once in 256; at the threshold agreement has mean t and error sqrt(t(1-t)/SKETCH).
     floor = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / SKETCH)
-    band = feats.select("node", F.explode("bands").alias("band"))
-    shared = _blocked(_numbered(band, "band", "node"))
-    rows = shared.join(feats.select("node", "size", "sketch"), "node")
-    keys = ["band", "bi", "bj"]
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _groups(batches, keys):
-            n = batch.num_rows
-            size, own = batch.column("size").to_numpy(), batch.column("own").to_numpy()
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(n, SKETCH)
-            bi, bj = batch.column("bi").to_numpy(), batch.column("bj").to_numpy()
-            low, high, found_a, found_b, held = [], [], [], [], 0
-
-            def decide() -> None:
-                a, b = np.concatenate(low), np.concatenate(high)
-                ok = _candidate_pairs(sketch, size, a, b, floor, threshold)
-                root = forest(n, a[ok], b[ok])
-                at = np.flatnonzero(root != np.arange(n))
-                found_a.append(at)
-                found_b.append(root[at])
-                low.clear()
-                high.clear()
-
-            for a, b in _edges(batch, keys):
-                i, j = _pairs(own[a:b], bi[a] == bj[a])
-                low.append(i + a)
-                high.append(j + a)
+    rows = _blocked(shared_bands(classes)).join(classes.select("node", "size", "bands", "sketch"), "node")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _groups(batches, KEYS):
+            g = _Group(batch, floor, threshold)
+            same = batch.column("bi").to_numpy() == batch.column("bj").to_numpy()
+            edges = _edges(batch, KEYS)
+            start = np.array([a for a, _ in edges])
+            small: list[tuple[np.ndarray, np.ndarray]] = []
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def decide(pairs: list[tuple[np.ndarray, np.ndarray]], first: bool) -> None:
+                low, high = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                if first:
+                    own = g.first_here(low, high)
+                    low, high = low[own], high[own]
+                own = g.alike(low, high)
+                found.append((low[own], high[own]))
+                pairs.clear()
+
+            held = 0
+            for a, b in edges:
+                if b - a < 2:
+                    continue
+                if b - a > SMALL:
+                    decide([g.pairs_of(a, b, bool(same[a]))], False)
+                    continue
+                i, j = _pairs(g.own[a:b], bool(same[a]))
+                small.append((i + a, j + a))
                 held += len(i)
-                if held > 1 << 18:
-                    decide()
+                if held > 1 << 17:
+                    decide(small, True)
                     held = 0
-            if low:
-                decide()
-            node = batch.column("node")
-            x, y = np.concatenate(found_a), np.concatenate(found_b)
-            yield pa.RecordBatch.from_arrays([node.take(pa.array(x)), node.take(pa.array(y))], ["a", "b"])
-
-    ordered = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return connected_components(ordered.select("node", "size", "sketch", "own", *keys).mapInArrow(link, "a binary, b binary"))
-
-
-def _compare(sets: list[np.ndarray], weight: np.ndarray, own: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links among the sets of a block pair: per set the number of linked sets, of linked documents, and a root.
-
-    The intersections of all pairs come from products of incidence matrices over n-grams that at least two sets share.
+            if small:
+                decide(small, True)
+            if not found:
+                continue
+            low, high = (np.concatenate(x) for x in zip(*found, strict=True))
+            group = np.searchsorted(start, low, "right") - 1
+            order = np.argsort(group, kind="stable")
+            low, high, group = low[order], high[order], group[order]
+            if not len(group):
+                continue
+            cut = np.flatnonzero(np.diff(group, prepend=-1))
+            at, mask = [], []
+            for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(group)], strict=True):
+                a, b = edges[int(group[x])]
+                link = np.zeros((b - a, b - a), dtype=bool)
+                link[low[x:y] - a, high[x:y] - a] = True
+                link |= link.T
+                own = np.flatnonzero(link.any(axis=1))
+                at.append(own + a)
+                mask.extend(r.tobytes() for r in np.packbits(link[own], axis=1))
+            where = np.concatenate(at)
+            pos = where - start[np.searchsorted(start, where, "right") - 1]
+            taken = batch.select([*KEYS, "node"]).take(pa.array(where))
+            yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in KEYS), pa.array(pos.astype(np.int32)), taken.column("node"), pa.array(mask, pa.binary())], [*KEYS, "pos", "node", "mask"])
+
+    ordered = rows.repartition(*KEYS).sortWithinPartitions(*KEYS)
+    return ordered.select("node", "size", "bands", "sketch", "own", *KEYS).mapInArrow(find, "band long, bi int, bj int, pos int, node binary, mask binary")
+
+
+def common_grams(sets: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How many n-grams the sets of each pair share.
+
+    Few pairs are merged one by one; the intersections of many come from products of incidence matrices over n-grams that
+    at least two of the sets have.
     """
+    if len(low) * 8 < len(sets) ** 2 or len(sets) <= 4:
+        out = np.empty(len(low), dtype=np.int64)
+        for k, (i, j) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+            both = np.concatenate([sets[i], sets[j]])
+            both.sort(kind="stable")
+            out[k] = np.count_nonzero(both[1:] == both[:-1])
+        return out
     size = np.array([len(s) for s in sets])
     flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
     order = np.argsort(flat, kind="stable")
@@ -280,41 +342,40 @@ def _compare(sets: list[np.ndarray], weight: np.ndarray, own: np.ndarray, same:
             incidence = np.zeros((len(sets), min(width, int(column[b - 1]) - k * width + 1)), dtype=np.float32)
             incidence[row[a:b], column[a:b] - k * width] = 1
             common += incidence @ incidence.T
-    union = size[:, None] + size[None, :] - common
-    linked = common >= threshold * union - 1e-6
-    if not same:
-        linked &= own[:, None] != own[None, :]
-    np.fill_diagonal(linked, False)
-    return linked.sum(axis=1), (linked.astype(np.float64) @ weight).astype(np.int64), forest(len(sets), *np.nonzero(np.triu(linked)))
+    return common[low, high].round().astype(np.int64)
 
 
 def verify(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Links decided on full sets: rows (node, other, texts, docs).
 
-    ``members`` has (node, component, copies), ``sets`` (node, grams); blocks are laid out before the sets join.  A row says that the node has so many linked classes and
-    documents within one block pair, and that ``other`` is in the same component (the node itself if none is).
+    ``members`` are ``candidates`` with the copies of each class, ``sets`` (node, grams).  A row says that the node has so
+    many linked classes and documents among its pairs in one pair of blocks, and that ``other`` is in the same component
+    (the node itself if none is).
     """
-    keys = ["component", "bi", "bj"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _groups(batches, keys):
-            grams, node = batch.column("grams"), batch.column("node")
+        for batch in _groups(batches, KEYS):
+            grams, node, mask = batch.column("grams"), batch.column("node"), batch.column("mask").to_pylist()
             values, off = grams.values.to_numpy(), grams.offsets.to_numpy()
-            copies, own = batch.column("copies").to_numpy(), batch.column("own").to_numpy()
-            bi, bj = batch.column("bi").to_numpy(), batch.column("bj").to_numpy()
+            copies, pos = batch.column("copies").to_numpy(), batch.column("pos").to_numpy()
             texts, docs, root = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64), np.arange(len(node))
-            for a, b in _edges(batch, keys):
+            for a, b in _edges(batch, KEYS):
                 sets = [values[off[i] : off[i + 1]] for i in range(a, b)]
-                if not sum(map(len, sets)):
-                    continue
-                texts[a:b], docs[a:b], r = _compare(sets, copies[a:b], own[a:b], bi[a] == bj[a], threshold)
-                root[a:b] = r + a
+                link = np.unpackbits(np.frombuffer(b"".join(mask[a:b]), np.uint8).reshape(b - a, -1), axis=1)[:, pos[a:b]]
+                low, high = np.nonzero(np.triu(link, 1))
+                size = off[a + 1 : b + 1] - off[a:b]
+                common = common_grams(sets, low, high)
+                ok = common >= threshold * (size[low] + size[high] - common) - 1e-6
+                low, high = low[ok], high[ok]
+                n, weight = b - a, copies[a:b]
+                texts[a:b] = np.bincount(low, minlength=n) + np.bincount(high, minlength=n)
+                docs[a:b] = np.bincount(low, weights=weight[high], minlength=n) + np.bincount(high, weights=weight[low], minlength=n)
+                root[a:b] = forest(n, low, high) + a
             at = np.flatnonzero(texts)
             yield pa.RecordBatch.from_arrays([node.take(pa.array(at)), node.take(pa.array(root[at])), pa.array(texts[at]), pa.array(docs[at])], ["node", "other", "texts", "docs"])
 
-    blocked = _blocked(_numbered_by_parts(members, "component", "node")).join(sets, "node")
-    ordered = blocked.repartition(*keys).sortWithinPartitions(*keys)
-    return ordered.select("node", "copies", "grams", "own", *keys).mapInArrow(run, "node binary, other binary, texts long, docs long")
+    ordered = members.join(sets, "node").repartition(*KEYS).sortWithinPartitions(*KEYS, "pos")
+    return ordered.select("node", "copies", "grams", "pos", "mask", *KEYS).mapInArrow(run, "node binary, other binary, texts long, docs long")
 
 
 def gram_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -342,7 +403,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS,
     # One row stands for each class from here on; copies are combined before the shuffle.
     first = [F.first(c).alias(c) for c in ("size", "bands", "sketch")]
     classes = materialise(feats.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), *first), "classes")
-    chosen = materialise(clusters(classes.filter("size > 0"), threshold).join(classes.select("node", "least", "copies"), "node"), "clusters")
+    left = materialise(candidates(classes.filter("size > 0"), threshold), "candidates")
+    chosen = materialise(left.select("node").distinct().join(classes.select("node", "least", "copies"), "node"), "chosen")
     # The texts of one document of each class that has candidates.
     ids = chosen.select("least").distinct()
     if chosen.count() <= BROADCAST_IDS:
@@ -350,11 +412,13 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS,
     own = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).cast("string").alias("text"))
     texts = own.join(ids, own["least"].eqNullSafe(ids["least"]), "left_semi")
     sets = gram_sets(texts, n).dropDuplicates(["node"])  # ids may be repeated
-    links = materialise(verify(chosen.select("node", "component", "copies"), sets, threshold), "links")
+    links = materialise(verify(left.join(chosen.select("node", "copies"), "node"), sets, threshold), "links")
     component = connected_components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = links.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     linked = component.join(classes.select("node", "least"), "node")
     class_ids = linked.groupBy("component").agg(F.min("least").alias("class_least"))
-    per_node = classes.select("node", "least", "copies").join(component.join(class_ids, "component").join(counts, "node"), "node", "left")
+    members = join_counted(component, materialise(class_ids.join(component.groupBy("component").agg(F.count("*").alias("m")), "component"), "components"), "component", "m", "node")
+    per_node = classes.select("node", "least", "copies").join(members.select("node", "class_least").join(counts, "node"), "node", "left")
     per_node = materialise(per_node.select("node", "copies", F.coalesce("class_least", "least").alias("class_id"), F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("docs", F.lit(0)).alias("docs")), "classes-linked")
-    return feats.select("doc_id", "node").join(per_node, "node").select("doc_id", "class_id", (F.col("docs") + F.col("copies") - 1).alias("n_links"), F.col("texts").alias("n_linked_texts"), F.col("copies").alias("n_copies"))
+    out = join_counted(feats.select("doc_id", "node"), per_node, "node", "copies", "doc_id")
+    return out.select("doc_id", "class_id", (F.col("docs") + F.col("copies") - 1).alias("n_links"), F.col("texts").alias("n_linked_texts"), F.col("copies").alias("n_copies"))
