@@ -8,8 +8,8 @@ by the edit distance (insertions and deletions) of the signatures as a share of
 both sides must have a run of 4 in common, else the likeness is 0.
 
 Defined results: null texts are empty, with the fingerprint ``0::``, alike to each other (1) and unlike all else (0);
-texts may be of any length; in the order by id, null ids come first and equal ids follow each other by text; a table of
-one row is its own next; an empty table gives no rows; other columns are ignored.
+texts may be of any length; in the order by id, null ids come first and equal ids follow each other by the SHA-256 of
+their texts; a table of one row is its own next; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,15 +18,19 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import mix64, powers, prefix_hash, span_hash
+from ._common import chunks, materialise, mix64, powers, prefix_hash, span_hash
 
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", dtype=np.uint8)
 WINDOW, PIECES, RUN, LEVELS = 7, 64, 4, 40
 BATCH = 1 << 18
+#: Bytes of text in a part, and most parts (which get larger beyond); sampled rows a part, from which parts are laid out.
+PART_BYTES, MOST_PARTS, SAMPLED = 32 << 20, 1 << 16, 64
+KEY_BYTES = 25
 
 
 def _levels(data: np.ndarray) -> np.ndarray:
@@ -130,31 +134,55 @@ def likeness(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (part, last, doc_id, text) so that, sorted within each part, every row that isn't ``last`` is followed by the
-    row that comes next in the order by (id, text); the last part ends in the first row of all.
+def _key(doc_id: Column, digest: Column) -> Column:
+    """Bytes that sort as (null ids first, id, digest)."""
+    flipped = doc_id.bitwiseXOR(F.lit(-(2**63)))
+    number = F.unhex(F.lpad(F.hex(F.coalesce(flipped, F.lit(0))), 16, "0"))
+    return F.concat(F.unhex(F.when(doc_id.isNull(), "00").otherwise("01")), number, F.substring(F.unhex(digest), 1, 16))
 
-    Parts are ranges of ids.  Each text is shuffled once, and the first of each part once more, to the part before.
+
+def _heads(light: DataFrame, part_bytes: int) -> list[bytes]:
+    """The first key of each part, if the rows (key, bytes) are cut into parts of about so many bytes.
+
+    Cuts are keys of a sample by hash.  It has about SAMPLED rows a part, so it is bounded by MOST_PARTS (100 MB); which rows
+    it holds depends on them alone.
+    """
+    total, rows, least = light.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*"), F.min("key")).first()
+    parts = min(MOST_PARTS, total // part_bytes + 1)
+    if not rows or parts == 1:
+        return [bytes(least)] if rows else []
+    rate = min(1.0, SAMPLED * parts / rows)
+    sample = light.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(rate * (1 << 30))).sort("key").toArrow()
+    keys, size = sample["key"].to_pylist(), np.cumsum(sample["bytes"].to_numpy())
+    cuts = {keys[i] for i in np.searchsorted(size, size[-1] * np.arange(1, parts) / parts).tolist()} if keys else set()
+    return sorted({bytes(least), *cuts})
+
+
+def with_next(docs: DataFrame, id_col: str, text_col: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Rows (part, last, key, doc_id, text) so that, sorted within each part, every row that isn't ``last`` is followed by
+    the row that comes next in the order by (id, digest of the text); the last part ends in the first row of all.
+
+    Parts are ranges of that order, of about ``part_bytes`` each, so a task's work doesn't grow with the input, and rows of
+    one id may be in several parts.  Each text is shuffled once, and the first of each part once more, to the part before.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spark = docs.sparkSession
-    ids = own.select("doc_id")
-    n = min(4096, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 2)
-    cuts = ids.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n).alias("c")).first()["c"] if n > 1 else None
-    cuts = sorted(set(cuts or []))
-    part = F.coalesce(F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda s, c: s + F.when(F.col("doc_id") > c, 1).otherwise(0)), F.lit(0)) if cuts else F.lit(0)
-    own = own.withColumn("part", part.cast("int"))
-    # The first row of each part: two columns of one row a part, not the texts.
-    order = F.struct(F.col("doc_id").isNotNull().alias("n"), "doc_id", F.sha2("text", 256).alias("h"))
-    firsts = own.select("part", order.alias("o")).groupBy("part").agg(F.min("o").alias("o"))
-    heads = firsts.select("part", "o").sort("part").collect()  # a row for each part
-    if not heads:
-        return own.select("part", F.lit(False).alias("last"), "doc_id", "text")
-    before = {h["part"]: heads[k - 1]["part"] for k, h in enumerate(heads)}
-    wanted = spark.createDataFrame([(h["part"], before[h["part"]], h["o"]["doc_id"], h["o"]["h"]) for h in heads], "part int, before int, _id long, _h string")
-    heads_of = own.join(F.broadcast(wanted), "part").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
-    tails = heads_of.filter(F.sha2("text", 256) == F.col("_h")).select(F.col("before").alias("part"), F.lit(True).alias("last"), "doc_id", "text")
-    return own.select("part", F.lit(False).alias("last"), "doc_id", "text").unionByName(tails)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    own = own.select(_key(F.col("doc_id"), F.sha2("text", 256)).alias("key"), "doc_id", "text")
+    light = materialise(own.select("key", F.octet_length("text").cast("long").alias("bytes")), "order")
+    heads = _heads(light, part_bytes)
+    shared = spark.sparkContext.broadcast(np.array(heads, dtype=f"S{KEY_BYTES}"))
+
+    @F.pandas_udf("int")
+    def part_of(key: pd.Series) -> pd.Series:
+        return pd.Series((np.searchsorted(shared.value, np.array(key.to_list(), dtype=f"S{KEY_BYTES}"), "right") - 1).astype(np.int32))
+
+    wanted = spark.createDataFrame([(k, n) for n, k in enumerate(heads)], "key binary, number int")
+    before = F.pmod(F.col("number") - 1, F.lit(max(len(heads), 1)))
+    placed = own.withColumn("part", part_of("key")).join(F.broadcast(wanted), "key", "left")
+    here = F.struct(F.col("part").alias("part"), F.lit(False).alias("last"))
+    places = F.when(F.col("number").isNull(), F.array(here)).otherwise(F.array(here, F.struct(before.cast("int").alias("part"), F.lit(True).alias("last"))))
+    out = placed.withColumn("_at", F.explode(places)).select("_at.part", "_at.last", "key", "doc_id", "text")
+    return out.repartition(max(1, len(heads)), "part")
 
 
 def edited(text: str, following: str) -> str:
@@ -163,7 +191,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +212,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             )
             ready.clear()
 
-        for batch in batches:
+        for batch in chunks(batches, "text", BATCH):  # no more texts at a time than one step needs
             for p, last, i, t in zip(*(batch.column(c).to_pylist() for c in ("part", "last", "doc_id", "text")), strict=True):
                 if held and p == part:
                     ready.append((*held.pop(), t))
@@ -207,7 +235,5 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             raise ValueError("a part without its last row")
         yield from give()
 
-    rows = with_next(docs, id_col, text_col)
-    order = ["part", "last", F.asc_nulls_first("doc_id"), F.sha2("text", 256)]
-    ordered = rows.repartition("part").sortWithinPartitions(*order)
-    return ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    ordered = with_next(docs, id_col, text_col, part_bytes).sortWithinPartitions("part", "last", "key")
+    return ordered.select("part", "last", "doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

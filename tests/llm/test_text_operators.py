@@ -298,13 +298,26 @@ def test_edits_of_odd_documents(spark, clash):
 def test_edits_over_many_parts(spark):
     rows = [(i * 7 % 1000, f"text {i} " * (i % 9)) for i in range(1000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    got = fingerprint.fingerprint_edits(df).toPandas()
+    got = fingerprint.fingerprint_edits(df, part_bytes=2000).toPandas()
     assert sorted(zip(got["doc_id"].astype(str), got["n_chars"], got["edited_sha256"], strict=True)) == plain_edits(rows)
+    pairs = {(f, e): n for f, e, n in zip(got["fingerprint"], got["edited_fingerprint"], got["near_edited"], strict=True)}
+    assert all(abs(n - plain_likeness(f, e)) < 1e-9 for (f, e), n in list(pairs.items())[:200])
+    following = dict(zip((r[0] for r in sorted(rows)), (r[1] for r in sorted(rows)[1:] + sorted(rows)[:1]), strict=True))
+    for r in got.itertuples():
+        assert abs(r.near_next - plain_likeness(r.fingerprint, plain_fingerprint(following[r.doc_id].encode()))) < 1e-9
     one = fingerprint.fingerprint_edits(df.limit(1)).toPandas()
     assert len(one) == 1 and one["near_next"][0] == 1
     assert fingerprint.fingerprint_edits(df.limit(0)).count() == 0
 
 
+def test_parts_follow_bytes_and_split_one_id(spark):
+    df = spark.range(3000).select(F.lit(5).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    sizes = [r["count"] for r in fingerprint.with_next(df, "doc_id", "text", part_bytes=2000).filter("not last").groupBy("part").count().collect()]
+    assert sum(sizes) == 3000 and len(sizes) >= 10 and max(sizes) < 900
+    few = fingerprint.with_next(df, "doc_id", "text").select("part").distinct().count()
+    assert few == 1
+
+
 # ---- decontamination
 
 
