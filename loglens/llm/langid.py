@@ -6,7 +6,8 @@ of a document to a profile adds up, over the document's most frequent n-grams, h
 in the profile; n-grams missing there cost the profile's length.  The nearest profile wins (ties: first in order).
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; with no training rows every text
-is ``und``; a text may be of any length; repeated rows are scored alike; other columns are ignored.
+is ``und``; a text may be of any length; repeated rows are scored alike; a column of more than ``MOST_LANGUAGES``
+languages is an error; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from ._common import chunks, mix64
 #: Places in a profile, and most frequent n-grams of a document that are compared.
 PROFILE = 400
 UNKNOWN = "und"
+#: Most languages; a column with more distinct values is refused, not cut.  There are about 8,000 language codes.
+MOST_LANGUAGES = 10_000
+#: Distances, texts times languages, that are held at a time.
+MOST_CELLS = 1 << 22
 #: Bytes of text handled at a time: the arrays made of them fit a core's cache.
 CHUNK = 1 << 17
 _BITS = np.uint64(40)
@@ -75,32 +80,60 @@ def _top(row: np.ndarray, gram: np.ndarray, count: np.ndarray, k: int) -> tuple[
 
 @dataclass(frozen=True)
 class Profiles:
-    """Languages in order, all profiled n-grams ascending, and the rank of each in each language (``size``: absent)."""
+    """Languages in order, all profiled n-grams ascending, and from ``first`` on the languages that have each and their ranks.
+
+    Only n-grams that a language has are stored, ``size`` of each, so the whole grows with the number of languages alone.
+    """
 
     languages: list[str]
     grams: np.ndarray
+    first: np.ndarray
+    owner: np.ndarray
     ranks: np.ndarray
     size: int
 
+    @classmethod
+    def of(cls, rows: list[tuple[str, int, int]], size: int) -> Profiles:
+        """From rows (language, n-gram, rank)."""
+        languages = sorted({lang for lang, _, _ in rows})
+        number = {x: i for i, x in enumerate(languages)}
+        gram = np.array([g for _, g, _ in rows], dtype=np.uint64)
+        order = np.argsort(gram, kind="stable")
+        grams, first = np.unique(gram[order], return_index=True)
+        owner = np.array([number[lang] for lang, _, _ in rows], dtype=np.int64)[order]
+        return cls(languages, grams, np.append(first, len(rows)), owner, np.array([r for _, _, r in rows], dtype=np.int64)[order], size)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; the score is 1 less the distance as a share of the largest possible."""
+        if len(texts) > 1 and len(texts) * len(self.languages) > MOST_CELLS:
+            parts = [self.predict(half) for half in (texts[: len(texts) // 2], texts[len(texts) // 2 :])]
+            return parts[0][0] + parts[1][0], np.concatenate([p[1] for p in parts])
         lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
         row, gram, count = ngrams([t or "" for t in texts])
         if not len(row) or not self.languages:
             return lang, score
         row, gram, rank = _top(row, gram, count, self.size)
-        at = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
-        place = np.where((self.grams[at] == gram)[:, None], self.ranks[at], self.size)
-        cost = np.where(place == self.size, self.size, np.abs(place - rank[:, None]))
         start = np.flatnonzero(np.diff(row, prepend=-1))
-        total = np.add.reduceat(cost, start, axis=0)
-        best = total.argmin(axis=1)
         n = np.diff(start, append=len(row))
+        at = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
+        own = np.flatnonzero(self.grams[at] == gram)
+        times = self.first[at[own] + 1] - self.first[at[own]]
+        each = np.repeat(self.first[at[own]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        saved = self.size - np.abs(self.ranks[each] - np.repeat(rank[own], times))  # below the cost of an n-gram that is missing
+        place = np.repeat(np.repeat(np.arange(len(start)), n)[own], times) * len(self.languages) + self.owner[each]
+        total = (n * self.size)[:, None] - np.bincount(place, weights=saved, minlength=len(start) * len(self.languages)).reshape(len(start), -1)
+        best = total.argmin(axis=1)
         for r, b, s in zip(row[start].tolist(), best.tolist(), (1 - total.min(axis=1) / (n * self.size)).tolist(), strict=True):
             lang[r], score[r] = self.languages[b], s
         return lang, score
 
 
+def most_frequent(counts: DataFrame, size: int) -> DataFrame:
+    """(lang, gram, rank) of each language's most frequent n-grams; no task passes on more than ``size`` rows of a language."""
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    return counts.withColumn("rank", rank).filter(F.col("rank") <= size).select("lang", "gram", (F.col("rank") - 1).alias("rank"))
+
+
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE) -> Profiles:
     """Profiles from all rows with a text and a language."""
 
@@ -125,20 +158,16 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
 
     own = docs.select(F.col(text_col).alias(text_col), F.col(lang_col).cast("string").alias(lang_col)).filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     counts = own.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
-    rows = counts.withColumn("rank", rank).filter(F.col("rank") < size).select("lang", "gram", "rank").collect()  # languages x size
-    languages = sorted({r["lang"] for r in rows})
-    grams = np.array(sorted({r["gram"] for r in rows}), dtype=np.uint64)
-    ranks = np.full((len(grams), len(languages)), size, dtype=np.int32)
-    if rows:
-        at = np.searchsorted(grams, np.array([r["gram"] for r in rows], dtype=np.uint64))
-        ranks[at, [languages.index(r["lang"]) for r in rows]] = [r["rank"] for r in rows]
-    return Profiles(languages, grams, ranks, size)
+    top = most_frequent(counts, size)
+    rows = top.limit(MOST_LANGUAGES * size + 1).collect()
+    if len(rows) > MOST_LANGUAGES * size:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    return Profiles.of([(r["lang"], r["gram"], r["rank"]) for r in rows], size)
 
 
 def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The ``keep`` columns of every row, with lang_pred and score under the names ``into``."""
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)  # at most languages x size entries
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)  # languages x size entries, MOST_LANGUAGES x size at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, source, CHUNK):
