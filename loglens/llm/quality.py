@@ -59,7 +59,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def index_vectors() -> np.ndarray:
     """Sparse ternary vectors of all hashed words and shapes, from their row number alone."""
     h = mix64(np.arange(2 * ROWS * DIMS, dtype=np.uint64)).reshape(2 * ROWS, DIMS) % np.uint64(12)
-    return (h == 0).astype(np.float32) - (h == 1).astype(np.float32)
+    return (h == 0).astype(np.int64) - (h == 1).astype(np.int64)
 
 
 def context_sums(data: np.ndarray, offsets: np.ndarray, index: np.ndarray, table: np.ndarray) -> None:
@@ -81,8 +81,8 @@ def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.nda
     end = np.cumsum(n)
     for i, (a, b) in enumerate(zip((end - n).tolist(), end.tolist(), strict=True)):
         if b > a:
-            out[i, :DIMS] = vectors[word[a:b]].mean(axis=0)
-            out[i, DIMS : 2 * DIMS] = vectors[shape[a:b]].mean(axis=0)
+            out[i, :DIMS] = vectors[word[a:b]].mean(axis=0, dtype=np.float64)
+            out[i, DIMS : 2 * DIMS] = vectors[shape[a:b]].mean(axis=0, dtype=np.float64)
     size, some = np.diff(offsets), np.maximum(n, 1)
     out[:, -6] = again / some
     out[:, -5] = np.log1p(n)
@@ -140,7 +140,7 @@ def train(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, hidden: int = 32, e
         return model
     logit, t = model.logits(x[held]), y[held]
     loss = lambda temp: np.logaddexp(0, np.where(t == 1, -logit, logit) / temp).mean()
-    best = min(np.exp(np.linspace(0, 2.5, 51)), key=loss)
+    best = min(np.exp(np.linspace(-1.5, 2.5, 81)), key=loss)
     return Model(vectors, center, scale, p[0], p[1], p[2], float(p[3][0]), float(best))
 
 
@@ -158,21 +158,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sum_names = [f"c{k}" for k in range(DIMS)]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, part_sum = index_vectors(), np.zeros((2 * ROWS, DIMS), dtype=np.float32)
+        index, part_sum = index_vectors(), np.zeros((2 * ROWS, DIMS), dtype=np.int64)
         for part in chunks(batches, "text"):
             context_sums(*text_bytes(part.column("text")), index, part_sum)
         own = np.flatnonzero(part_sum.any(axis=1))
         for a in range(0, len(own), 8192):
             some = own[a : a + 8192]
-            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(part_sum[some, k].astype(np.int64)) for k in range(DIMS))], ["row", *sum_names])
+            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(part_sum[some, k]) for k in range(DIMS))], ["row", *sum_names])
 
     # Whole numbers, so the order of adding doesn't matter; the result has 2 * ROWS rows at most.
     added = sample.select("text").mapInArrow(sums, "row long, " + ", ".join(f"{c} long" for c in sum_names)).groupBy("row").agg(*[F.sum(c).alias(c) for c in sum_names]).toArrow()
-    total = np.zeros((2 * ROWS, DIMS), dtype=np.float32)
+    total = np.zeros((2 * ROWS, DIMS), dtype=np.int64)
     total[added["row"].to_numpy()] = np.stack([added[c].to_numpy() for c in sum_names], axis=1)
     unseen = ~total.any(axis=1)
     total[unseen] = index_vectors()[unseen]
-    vectors = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-6)
+    vectors = (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-6)).astype(np.float32)
     shared = spark.sparkContext.broadcast(vectors)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import zlib
@@ -10,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from loglens.llm import langid, lm, quality, queries
 from loglens.llm._common import bucket_of, text_bytes
@@ -39,6 +41,53 @@ def test_quality_words():
     assert len(word) == len(shape) == 7 and shape[1] == shape[3] != shape[0]
 
 
+def test_random_indexing_word_by_word():
+    import pyarrow as pa
+
+    texts = ["a b c d e f a b", "", "x", "a A b 1 c-3", "one two one two one"]
+    data, offsets = text_bytes(pa.array(texts))
+    word, shape, n, distinct, again = quality.words(data, offsets)
+    index, got = quality.index_vectors(), np.zeros((2 * quality.ROWS, quality.DIMS), dtype=np.int64)
+    quality.context_sums(data, offsets, index, got)
+    want = np.zeros_like(got)
+    first = 0
+    for t, size in zip(texts, n.tolist(), strict=True):
+        assert size == len(t.split())
+        for i in range(size):
+            for j in range(size):
+                if 0 < abs(i - j) <= quality.WINDOW:
+                    for own in (word, shape):
+                        want[own[first + i]] += index[word[first + j]] + index[shape[first + j]]
+        first += size
+    assert (got == want).all() and set(np.unique(index)) == {-1, 0, 1}
+    vectors = np.random.default_rng(1).normal(size=got.shape).astype(np.float32)
+    x = quality.pooled(data, offsets, vectors)
+    first = 0
+    for k, t in enumerate(texts):
+        w, size = t.split(), int(n[k])
+        for part, own in ((x[k, : quality.DIMS], word), (x[k, quality.DIMS : 2 * quality.DIMS], shape)):
+            mean = sum((vectors[own[first + i]].astype(float) for i in range(size)), np.zeros(quality.DIMS)) / max(size, 1)
+            assert np.allclose(part, mean, atol=1e-6)
+        some, kinds = max(size, 1), len(set(w))
+        rest = [sum(a == b for a, b in zip(w, w[1:])) / some, math.log1p(size), kinds / some, math.log1p(len(t.encode()) / some), math.sqrt(kinds) / math.log1p(some), not w]
+        assert np.allclose(x[k, 2 * quality.DIMS :], rest, atol=1e-6)
+        first += size
+
+
+def test_fit_adds_up_all_chosen_texts(spark):
+    import pyarrow as pa
+
+    rows = [(i, f"word{i % 7} comes after word{i % 3} and before word{i % 5}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    table = np.zeros((2 * quality.ROWS, quality.DIMS), dtype=np.int64)
+    quality.context_sums(*text_bytes(pa.array([t for _, t in rows])), quality.index_vectors(), table)
+    unseen = ~table.any(axis=1)
+    table[unseen] = quality.index_vectors()[unseen]
+    want = table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-6)
+    assert np.allclose(quality.fit(docs, labels).vectors, want, atol=1e-6)
+
+
 def test_quality_network_learns_and_is_calibrated():
     rng = np.random.default_rng(0)
     d = 2 * quality.DIMS + quality.EXTRAS
@@ -89,12 +138,7 @@ def test_distance_like_the_plain_version():
     texts = {"aa": "the cat and the hat and the bat", "bb": "le chat et le chien et le rat"}
     size = 20
     order = {k: [g for _, g in sorted((-n, g) for g, n in zip(*langid.ngrams([t])[1:], strict=True))][:size] for k, t in texts.items()}
-    grams = np.array(sorted({g for o in order.values() for g in o}), dtype=np.uint64)
-    ranks = np.full((len(grams), 2), size, dtype=np.int32)
-    for j, k in enumerate(order):
-        for r, g in enumerate(order[k]):
-            ranks[np.searchsorted(grams, g), j] = r
-    p = langid.Profiles(["aa", "bb"], grams, ranks, size)
+    p = langid.Profiles.of([(k, g, r) for k in order for r, g in enumerate(order[k])], size)
     query = "the rat and the chat"
     own = [g for _, g in sorted((-n, g) for g, n in zip(*langid.ngrams([query])[1:], strict=True))][:size]
     cost = {k: sum(abs(i - o.index(g)) if g in o else size for i, g in enumerate(own)) for k, o in order.items()}
@@ -103,6 +147,44 @@ def test_distance_like_the_plain_version():
     assert score[0] == pytest.approx(1 - min(cost.values()) / (len(own) * size)) and list(score[1:]) == [0, 0, 0]
 
 
+def hashed(gram):
+    """The 40-bit hash of an n-gram of one to three characters."""
+    h = functools.reduce(lambda a, c: a << 21 | ord(c), gram, 0)
+    h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) % 2**64
+    h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) % 2**64
+    return (h ^ (h >> 31)) % 2**40
+
+
+def test_profiles_like_the_plain_version(spark, monkeypatch):
+    rows = [(t, lang) for _, t, lang, *_ in odd_documents()] + [("ab ab cd", "xx"), ("zz", "yy"), (None, "xx"), ("ab", None)]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    counts = {}
+    for t, lang in rows:
+        if t is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(plain_ngrams(t))
+    size = 30
+    want = {}
+    for lang, c in counts.items():
+        order = sorted(((-n, hashed(g)) for g, n in c.items()))[:size]
+        want |= {(lang, g): r for r, (_, g) in enumerate(order)}
+    p = langid.learn(df, size=size)
+    got = {(p.languages[p.owner[k]], int(g)): int(p.ranks[k]) for i, g in enumerate(p.grams) for k in range(p.first[i], p.first[i + 1])}
+    assert got == want and p.languages == sorted(lang for lang in counts if counts[lang])
+    texts = ["ab cd", "größe", None, "x y z"]
+    whole = p.predict(texts)
+    monkeypatch.setattr(langid, "MOST_CELLS", 2)
+    halves = p.predict(texts)
+    assert halves[0] == whole[0] and (halves[1] == whole[1]).all()
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        langid.learn(df, size=5)
+
+
+def test_a_task_passes_on_few_rows_of_a_language(spark):
+    counts = spark.range(10).select((F.col("id") % 2).cast("string").alias("lang"), F.col("id").alias("gram"), F.lit(1).alias("n"))
+    assert "WindowGroupLimit" in langid.most_frequent(counts, 5)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_language_on_held_out_rows(spark):
     got = queries.op4_language(spark, MIDDLE).toPandas()
     docs = pd.read_parquet(f"{MIDDLE}/documents.parquet", columns=["doc_id", "lang"])
