@@ -62,21 +62,18 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 #: Rows of one key that meet in one task of ``join_counted``, at least; and most keys that may have more.
-HOT_ROWS, HOT_KEYS = 1 << 14, 1 << 17
+HOT_ROWS, HOT_KEYS = 256, 1 << 17
 
 
-def join_counted(many: DataFrame, one: DataFrame, key: str, count: str, spread: str) -> DataFrame:
-    """``many`` joined to ``one``, which has a row for each key and in ``count`` the number of rows that ``many`` has of it.
+def join_counted(many: DataFrame, one: DataFrame, key: str, count: str, spread: str, total: int) -> DataFrame:
+    """``many``, of about ``total`` rows, joined to ``one``, which has a row for each key and in ``count`` its number of rows in ``many``.
 
-    Keys of more than ``HOT_ROWS`` rows are few, at most HOT_KEYS: their rows are dealt to several tasks by the hash of
-    ``spread``, and their row of ``one`` is copied as often.  ``one`` must be stable, as it is read twice.
+    Keys of very many rows are few, at most HOT_KEYS: their rows are dealt to several tasks by the hash of ``spread``, and
+    their row of ``one`` is copied as often.  ``one`` is read twice and must be the same both times.
     """
-    total = one.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
     hot = max(HOT_ROWS, -(-total // HOT_KEYS))
     salts = F.ceil(F.col(count) / hot).cast("int")
     heavy = one.filter(F.col(count) > hot).select(key, salts.alias("_salts"))
-    if heavy.isEmpty():
-        return many.join(one, key)
     dealt = many.join(F.broadcast(heavy), key, "left")
     dealt = dealt.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
     copied = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(count) > hot, salts - 1).otherwise(0))))

@@ -12,8 +12,11 @@ only to groups where they have a pair left, and are compared; (5) connected comp
 
 So work follows the pairs that share bands, not the size of components: a chain of texts costs as much a text as a
 pair does.  A band that many classes have is cut into blocks by hash; a pair of blocks is compared as matrices, what
-leaves stage 3 is a row with a bit for each other row of the pair of blocks, and what leaves stage 4 a number of links
-per class and a spanning forest of them.  No list of all pairs of a group is ever built.
+leaves stage 3 is a row with a bit for each other row of a pair of smaller blocks, and what leaves stage 4 a number of
+links per class and a spanning forest of them.  No list of all pairs of a group is ever built.
+
+Besides the recall of the bands, a pair is lost if the low 32 bits of an earlier band agree by chance (one in 10**8), and
+n-grams are compared by 48 bits of their hashes.
 
 Defined results: texts without any word (null, empty, white space) have equal, empty sets and form one class;
 a null id is kept as null and never becomes a class id unless all ids of the class are null; repeated rows and
@@ -24,6 +27,7 @@ length.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -42,8 +46,8 @@ WORDS = 5
 SKETCH = 128
 #: Sketches this far (in standard errors) below the threshold rule a pair out.
 SLACK = 6.0
-#: Classes in a block, on average.
-BLOCK = 128
+#: Classes in a block of stage 3, on average, and at most in one of stage 4.
+BLOCK, PART = 512, 128
 RECALL = 0.99999
 #: Ids that may be broadcast (8 MB); more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -115,14 +119,14 @@ def features(docs: DataFrame, bands: int, rows: int, n: int, id_col: str, text_c
     return own.mapInArrow(run, "doc_id long, node binary, size int, bands array<long>, sketch binary")
 
 
-def shared_bands(classes: DataFrame) -> DataFrame:
+def shared_bands(classes: DataFrame, bands: int) -> DataFrame:
     """(band, node, blocks) of the bands that several classes have, and the number of blocks that a band is cut into.
 
     Bands are counted before anything else moves; the rows of a band that very many classes have are dealt to several tasks.
     """
     band = classes.select("node", F.explode("bands").alias("band"))
     counts = materialise(band.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1"), "bands")
-    return join_counted(band, counts, "band", "m", "node").select("band", "node", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    return join_counted(band, counts, "band", "m", "node", bands * classes.count()).select("band", "node", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
 
 
 def _blocked(shared: DataFrame) -> DataFrame:
@@ -194,8 +198,8 @@ class _Group:
         n = batch.num_rows
         self.size, self.own = batch.column("size").to_numpy(), batch.column("own").to_numpy()
         self.sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(n, SKETCH)
-        self.bands = batch.column("bands").flatten().to_numpy().reshape(n, -1)
-        self.number = (self.bands == batch.column("band").to_numpy()[:, None]).argmax(axis=1)  # which of its bands a group shares
+        self.bands = batch.column("low").flatten().to_numpy().reshape(n, -1)
+        self.number = (self.bands == batch.column("band").to_numpy().astype(np.int32)[:, None]).argmax(axis=1)  # which of its bands a group shares
         self.floor, self.threshold = floor, threshold
 
     def alike(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -238,19 +242,38 @@ def _pairs(own: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
 
 
 KEYS = ["band", "bi", "bj"]
+PARTS = [*KEYS, "part"]
 #: Groups of more rows are handled as matrices, smaller ones together as lists of pairs.
 SMALL = 24
 
 
-def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(band, bi, bj, pos, node, mask): the classes of each pair of blocks that have pairs left, their place there, and a bit for
-    every place that they make a pair with.
+def parts_of(link: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """A symmetric matrix of links as pairs of blocks of at most PART places.
+
+    Gives the number of each pair of blocks that has links, its places that have one, where they are among the places of the
+    pair, and their rows as bits.
+    """
+    n = len(link)
+    for number, (s, t) in enumerate(itertools.combinations_with_replacement(range(0, n, PART), 2)):
+        place = np.arange(s, min(s + PART, n)) if s == t else np.concatenate([np.arange(s, s + PART), np.arange(t, min(t + PART, n))])
+        own = link[np.ix_(place, place)]
+        if s != t:
+            own = own & ((place < t)[:, None] != (place < t)[None, :])
+        at = np.flatnonzero(own.any(axis=1))
+        if len(at):
+            yield number, place[at], at, np.packbits(own[at], axis=1)
+
+
+def candidates(classes: DataFrame, bands: int, threshold: float = THRESHOLD) -> DataFrame:
+    """(band, bi, bj, part, pos, node, mask): the classes of each pair of blocks that have pairs left, in pairs of smaller blocks
+    (``part``), their place there, and a bit for every place that they make a pair with.
 
     ``classes`` has one row per class.
     """
     # A one-byte minimum agrees by chance once in 256; at the threshold agreement has mean t and error sqrt(t(1-t)/SKETCH).
     floor = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / SKETCH)
-    rows = _blocked(shared_bands(classes)).join(classes.select("node", "size", "bands", "sketch"), "node")
+    low = F.transform("bands", lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int")).alias("low")
+    rows = _blocked(shared_bands(classes, bands)).join(classes.select("node", "size", low, "sketch"), "node")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches, KEYS):
@@ -294,22 +317,21 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             if not len(group):
                 continue
             cut = np.flatnonzero(np.diff(group, prepend=-1))
-            at, mask = [], []
+            at, part, pos, mask = [], [], [], []
             for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(group)], strict=True):
                 a, b = edges[int(group[x])]
                 link = np.zeros((b - a, b - a), dtype=bool)
                 link[low[x:y] - a, high[x:y] - a] = True
-                link |= link.T
-                own = np.flatnonzero(link.any(axis=1))
-                at.append(own + a)
-                mask.extend(r.tobytes() for r in np.packbits(link[own], axis=1))
-            where = np.concatenate(at)
-            pos = where - start[np.searchsorted(start, where, "right") - 1]
-            taken = batch.select([*KEYS, "node"]).take(pa.array(where))
-            yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in KEYS), pa.array(pos.astype(np.int32)), taken.column("node"), pa.array(mask, pa.binary())], [*KEYS, "pos", "node", "mask"])
+                for number, place, where, bits in parts_of(link | link.T):
+                    at.append(place + a)
+                    part.append(np.full(len(place), number, np.int32))
+                    pos.append(where.astype(np.int32))
+                    mask.extend(r.tobytes() for r in bits)
+            taken = batch.select([*KEYS, "node"]).take(pa.array(np.concatenate(at)))
+            yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in KEYS), pa.array(np.concatenate(part)), pa.array(np.concatenate(pos)), taken.column("node"), pa.array(mask, pa.binary())], [*PARTS, "pos", "node", "mask"])
 
     ordered = rows.repartition(*KEYS).sortWithinPartitions(*KEYS)
-    return ordered.select("node", "size", "bands", "sketch", "own", *KEYS).mapInArrow(find, "band long, bi int, bj int, pos int, node binary, mask binary")
+    return ordered.select("node", "size", "low", "sketch", "own", *KEYS).mapInArrow(find, "band long, bi int, bj int, part int, pos int, node binary, mask binary")
 
 
 def common_grams(sets: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -354,16 +376,15 @@ def verify(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _groups(batches, KEYS):
-            grams, node, mask = batch.column("grams"), batch.column("node"), batch.column("mask").to_pylist()
-            values, off = grams.values.to_numpy(), grams.offsets.to_numpy()
+        for batch in _groups(batches, PARTS):
+            grams, node, mask = batch.column("grams").to_pylist(), batch.column("node"), batch.column("mask").to_pylist()
             copies, pos = batch.column("copies").to_numpy(), batch.column("pos").to_numpy()
             texts, docs, root = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64), np.arange(len(node))
-            for a, b in _edges(batch, KEYS):
-                sets = [values[off[i] : off[i + 1]] for i in range(a, b)]
+            for a, b in _edges(batch, PARTS):
+                sets = [unpacked(g) for g in grams[a:b]]
                 link = np.unpackbits(np.frombuffer(b"".join(mask[a:b]), np.uint8).reshape(b - a, -1), axis=1)[:, pos[a:b]]
                 low, high = np.nonzero(np.triu(link, 1))
-                size = off[a + 1 : b + 1] - off[a:b]
+                size = np.array([len(s) for s in sets])
                 common = common_grams(sets, low, high)
                 ok = common >= threshold * (size[low] + size[high] - common) - 1e-6
                 low, high = low[ok], high[ok]
@@ -374,21 +395,33 @@ def verify(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
             at = np.flatnonzero(texts)
             yield pa.RecordBatch.from_arrays([node.take(pa.array(at)), node.take(pa.array(root[at])), pa.array(texts[at]), pa.array(docs[at])], ["node", "other", "texts", "docs"])
 
-    ordered = members.join(sets, "node").repartition(*KEYS).sortWithinPartitions(*KEYS, "pos")
-    return ordered.select("node", "copies", "grams", "pos", "mask", *KEYS).mapInArrow(run, "node binary, other binary, texts long, docs long")
+    ordered = members.join(sets, "node").repartition(*PARTS).sortWithinPartitions(*PARTS, "pos")
+    return ordered.select("node", "copies", "grams", "pos", "mask", *PARTS).mapInArrow(run, "node binary, other binary, texts long, docs long")
+
+
+def packed(grams: np.ndarray) -> bytes:
+    """The upper 48 bits of ascending hashes, six bytes each."""
+    high = grams >> np.uint64(16)
+    high = high[np.flatnonzero(np.diff(high, prepend=~high[:1]))] if len(high) else high
+    return high.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def gram_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(node, grams) of each row's text: the digest and the sorted distinct hashes of its n-grams."""
+    """(node, grams) of each row's text: the digest, and the distinct hashes of its n-grams as ``packed``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
             sets = list(_sets(part, "text", n))
             node = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(sets).astype(np.int64)))], ["node", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array([packed(s) for s in sets], pa.binary())], ["node", "grams"])
 
-    return docs.select("text").mapInArrow(run, "node binary, grams array<long>")
+    return docs.select("text").mapInArrow(run, "node binary, grams binary")
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -403,7 +436,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS,
     # One row stands for each class from here on; copies are combined before the shuffle.
     first = [F.first(c).alias(c) for c in ("size", "bands", "sketch")]
     classes = materialise(feats.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), *first), "classes")
-    left = materialise(candidates(classes.filter("size > 0"), threshold), "candidates")
+    left = materialise(candidates(classes.filter("size > 0"), bands, threshold), "candidates")
     chosen = materialise(left.select("node").distinct().join(classes.select("node", "least", "copies"), "node"), "chosen")
     # The texts of one document of each class that has candidates.
     ids = chosen.select("least").distinct()
@@ -416,9 +449,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS,
     component = connected_components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = links.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     linked = component.join(classes.select("node", "least"), "node")
-    class_ids = linked.groupBy("component").agg(F.min("least").alias("class_least"))
-    members = join_counted(component, materialise(class_ids.join(component.groupBy("component").agg(F.count("*").alias("m")), "component"), "components"), "component", "m", "node")
+    class_ids = linked.groupBy("component").agg(F.min("least").alias("class_least"), F.count("*").alias("m"))
+    of = materialise(class_ids, "components")
+    members = join_counted(component, of, "component", "m", "node", component.count())
     per_node = classes.select("node", "least", "copies").join(members.select("node", "class_least").join(counts, "node"), "node", "left")
     per_node = materialise(per_node.select("node", "copies", F.coalesce("class_least", "least").alias("class_id"), F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("docs", F.lit(0)).alias("docs")), "classes-linked")
-    out = join_counted(feats.select("doc_id", "node"), per_node, "node", "copies", "doc_id")
+    out = join_counted(feats.select("doc_id", "node"), per_node, "node", "copies", "doc_id", feats.count())
     return out.select("doc_id", "class_id", (F.col("docs") + F.col("copies") - 1).alias("n_links"), F.col("texts").alias("n_linked_texts"), F.col("copies").alias("n_copies"))
