@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 import random
@@ -9,9 +10,10 @@ import re
 
 import pandas as pd
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from loglens.llm import chat, decontam, fingerprint, licenses, queries, warc
+from loglens.llm import chat, decontam, fingerprint, license_table, licenses, queries, warc
 from loglens.llm._common import _BYTE
 
 from .helpers import CLASHES, SMALL, documents, folder, odd_documents
@@ -19,21 +21,39 @@ from .helpers import CLASHES, SMALL, documents, folder, odd_documents
 # ---- licences
 
 
+NAMES = {licenses.normal(s): k for k, s in license_table.SENTENCES}
+
+
 def plain_scan(text):
-    """(rule, first, last, known, longest) from sentences one after the other."""
-    names = {v: k for k, v in licenses.SENTENCES.items()}
-    if text is None or not re.search(licenses.TRIGGERS, text):
+    """(rule, first, last, known, longest) from pieces one after the other."""
+    if text is None:
         return []
-    cut = re.sub(r"([.!?])[ \t\r]+", r"\1\n", text).split("\n")
-    known = [(i, names[n]) for i, s in enumerate(cut) if (n := re.sub(r"[^a-z0-9]+", " ", s.lower()).strip(" ")) in names]
-    hits = [(r, a, a + len(seq) - 1) for a in range(len(known)) for r, _, seq in licenses.RULES if [k for _, k in known[a : a + len(seq)]] == seq]
-    return sorted((r, known[a][0], known[b][0], len(known), not any(x <= a and y >= b and y - x > b - a for _, x, y in hits)) for r, a, b in hits)
+    parts = []
+    for line in re.sub(licenses.ASIDE, " ", text.replace("|", " ")).lower().split("\n"):
+        line = re.sub(r"^[^\w\n]*(\(?[0-9a-z]{1,2}\)|rem|dnl)[ \t]+", "", line, flags=re.ASCII)
+        for x in re.sub(r"([.!?])[ \t\r]+", r"\1\n", line).split("\n"):
+            parts.append((re.sub(r"[^a-z0-9]+", " ", x).strip(), x[-1:] in (".", "!", "?")))
+    known, i = [], 0
+    while i < len(parts):
+        best, said, j = None, "", i
+        while j < len(parts) and parts[j][0] and any(n.startswith(said + parts[j][0]) for n in NAMES):
+            said += parts[j][0]
+            if said in NAMES:
+                best = (i, NAMES[said], j)
+            said += "|" if parts[j][1] else " "
+            j += 1
+        if best:
+            known.append(best)
+        i = best[2] + 1 if best else i + 1
+    hits = [(r, a, a + len(seq) - 1) for a in range(len(known)) for r, _, seq in license_table.RULES if [k for _, k, _ in known[a : a + len(seq)]] == seq]
+    return sorted((r, known[a][0], known[b][2], len(known), not any(x <= a and y >= b and y - x > b - a for _, x, y in hits)) for r, a, b in hits)
 
 
 def license_texts():
-    s = licenses.SENTENCES
-    header = f"{s['APACHE-NOTICE']}.\nSome prose. {s['APACHE-COMPLIANCE'].upper()}! {s['APACHE-COPY']}"
-    return [None, "", "no such thing", "Released under the MIT License.", "x. Licensed under CC BY-NC 4.0. Released under the MIT License.\nAll rights reserved.", header, s["BSD-GRANT"], f"{s['MIT-CONDITION']}. {s['MIT-GRANT']}. {s['MIT-CONDITION']}.", "released under the mit license and more", "license", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License. Released under the MIT License."]
+    first = dict(reversed(license_table.SENTENCES))
+    header = f"{first['APACHE-NOTICE']}\nSome prose. {first['APACHE-COMPLIANCE'].upper()}! {first['APACHE-COPY']}"
+    more = ["SPDX-License-Identifier: MIT", "/* SPDX-License-Identifier: GPL-2.0-only */", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "(the MIT License", 'Licensed under the Apache License, Version 2.0;\nyou may not use this file except in compliance with the License.']
+    return [None, "", "no such thing", "Released under the MIT License.", "x. Licensed under CC BY-NC 4.0. Released under the MIT License.\nAll rights reserved.", header, first["BSD-GRANT"], f"{first['MIT-CONDITION']} {first['MIT-GRANT']} {first['MIT-CONDITION']}", "released under the mit license and more", "license", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License. Released under the MIT License.", *more, *(s for _, s in license_table.SENTENCES)]
 
 
 @pytest.mark.parametrize("clash", [False, True])
@@ -89,31 +109,102 @@ modification, are permitted provided that the following conditions are met:
 """
 
 
-def test_wrapped_licenses(spark):
+BSD3 = BSD + """
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+"""
+FILES = {"mit-text": MIT, "apache-header-text": APACHE, "gpl-3.0-later-header": GPL, "bsd-text": BSD, "bsd-3-text": BSD3, "mpl-2-header": MPL, "lgpl-2.1-later-header": LGPL, "isc-text": ISC}
+
+
+def longest_rules(rows):
+    out = {}
+    for r in rows:
+        if r["longest"]:
+            out.setdefault(r["doc_id"], []).append(r["rule"])
+    return out
+
+
+@pytest.mark.parametrize("lead", ["", " * ", "# ", "// ", "-- ", ";; ", "\t% ", "rem ", "dnl ", "> "])
+def test_files_as_they_are_wrapped(spark, lead):
+    texts = {rule: "Some code.\n\n" + "".join(f"{lead}{line}\n" for line in t.splitlines()) + "\nmore code\n" for rule, t in FILES.items()}
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")).collect()
+    got = longest_rules(rows)
+    for i, (rule, t) in enumerate(texts.items()):
+        assert rule in got[i], (rule, got.get(i), t)
+    own = sorted((r["doc_id"], r["rule"], r["first_sentence"], r["last_sentence"], r["n_known"], r["longest"]) for r in rows)
+    assert own == sorted((i, *x) for i, t in enumerate(texts.values()) for x in plain_scan(t))
+
+
+def test_other_line_ends_and_list_marks(spark):
+    marks = [BSD.replace("1. ", "(1) ").replace("2. ", "(2) "), BSD.replace("1. ", "* ").replace("2. ", "* "), BSD.replace("1. ", "a) ").replace("2. ", "b) "), BSD.replace("\n", "\r\n")]
     broken = ["All rights\n\nreserved.", "All rights.\nReserved", "We say all\nrights reserved", "All\nrights reserved for us"]
-    texts = [APACHE, MIT, GPL, BSD, APACHE.replace("\n", "\r\n"), "Prose.\nAll|rights\nreserved.\nProse", *broken]
-    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    got = sorted((r["doc_id"], r["rule"], r["first_sentence"], r["last_sentence"], r["n_known"]) for r in rows)
-    want = [(0, "apache-header-text", 0, 2, 2), (1, "mit-text", 4, 12, 3), (1, "mit-title", 0, 0, 3), (2, "gpl3-header", 0, 9, 3), (3, "bsd-text", 0, 9, 3), (4, "apache-header-text", 0, 3, 2), (5, "all-rights-reserved", 1, 2, 1)]
-    assert [x[:2] for x in got] == [x[:2] for x in want]
-    assert got[:3] == want[:3] and got[-1] == want[-1]
+    texts = [*marks, "Prose.\nAll|rights\nreserved.\nProse", *broken]
+    got = longest_rules(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert got == {0: ["bsd-text"], 1: ["bsd-text"], 2: ["bsd-text"], 3: ["bsd-text"], 4: ["all-rights-reserved"]}
+
+
+def test_a_table_of_ones_own(spark):
+    df = spark.createDataFrame([(1, "Use it well, friend! Be kind.\nBe kind"), (2, "All rights reserved.")], "doc_id long, text string")
+    known, rules = [("WELL", "use it well, Friend."), ("KIND", "Be kind")], [("both", "Own", ["WELL", "KIND"]), ("kind", "Own", ["KIND"])]
+    got = sorted((r["doc_id"], r["rule"], r["first_sentence"], r["longest"]) for r in licenses.scan(df, known=known, rules=rules).collect())
+    assert got == [(1, "both", 0, True), (1, "kind", 1, False), (1, "kind", 2, True)]
 
 
-def test_licenses_match_sql_and_use_no_python(spark):
+def test_licenses_match_sql_and_use_no_python(spark, tmp_path):
     import duckdb
 
+    own = lambda d: sorted(map(tuple, d[sorted(d.columns)].astype(str).to_numpy()))
+    files = [lead + t.replace("\n", "\n" + lead) for t in FILES.values() for lead in ("", " * ")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*license_texts(), *files])], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
+    con.sql(f"create view odd as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert own(licenses.scan(df).toPandas()) == own(con.sql(licenses.scan_sql("odd")).df())
     con.sql(f"create view documents as select * from '{SMALL}/documents.parquet'")
     df = queries.op3_licenses(spark, SMALL)
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
-    want = con.sql(queries.oracle_sql()["op3_licenses"]).df()
-    own = lambda d: sorted(map(tuple, d[sorted(d.columns)].astype(str).to_numpy()))
-    assert own(df.toPandas()) == own(want)
+    assert own(df.toPandas()) == own(con.sql(queries.oracle_sql()["op3_licenses"]).df())
+
 
+def test_table_of_sentences():
+    without = {k for k, s in license_table.SENTENCES if not any(t in s.lower() for t in license_table.TRIGGERS)}
+    assert all(set(seq) - without for _, _, seq in license_table.RULES)
+    assert {k for _, _, seq in license_table.RULES for k in seq} <= {k for k, _ in license_table.SENTENCES}
+    assert len(NAMES) == len(license_table.SENTENCES) and len({r for r, _, _ in license_table.RULES}) == len(license_table.RULES)
+    assert len(NAMES) >= 60 and len(license_table.RULES) >= 40
 
-def test_every_sentence_has_a_trigger():
-    assert all(re.search(licenses.TRIGGERS, s) and s == re.sub("[^a-z0-9]+", " ", s).strip() for s in licenses.SENTENCES.values())
-    assert {k for _, _, seq in licenses.RULES for k in seq} <= set(licenses.SENTENCES)
+
+def test_a_text_of_many_sentences(spark):
+    df = spark.createDataFrame([(1, "All rights reserved.\nother words here\n" * 30_000)], "doc_id long, text string")
+    assert licenses.scan(df).groupBy("rule", "longest", "n_known").count().collect() == [("all-rights-reserved", True, 30_000, 30_000)]
 
 
 # ---- chat
@@ -199,11 +290,25 @@ def test_archive(spark, tmp_path):
     assert head.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and b"Content-Length: 200000" in head and rest == b"q" * 200_000 + b"\r\n\r\n"
     assert next(x for i, x in whole if i == 1).endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
     assert b"u2%0D%0AX: y" in next(x for i, x in whole if i == 5)
+    ids = [warc.fields(bytes(r["record"]))["WARC-Record-ID"] for r in warc.reconstruct(spark, archive).collect()]
+    assert len(set(ids)) == len(rows)
+    by_id = {warc.fields(x)["WARC-Record-ID"]: i for i, x in whole}
+    assert all(by_id[warc.fields(x)["WARC-Refers-To"]] == int(warc.fields(x)["X-Refers-To-Page-ID"]) for _, x in whole if b"WARC-Type: revisit" in x)
+    file = b"".join(bytes(r["member"]) for r in warc.members(spark, archive).collect())
+    assert sorted(gzip.decompress(file)) == sorted(b"".join(x for _, x in whole))
+
+
+def test_hot_payloads_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr("loglens.llm._common.HOT_ROWS", 3)
+    df = spark.range(100).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") < 70, F.lit("same" * 300)).when(F.col("id") < 90, "").otherwise(F.col("id").cast("string")).alias("html"))
+    got = warc.read(spark, warc.write(df)).toPandas()
+    assert len(got) == 100 and sorted(got["id"]) == list(range(100))
+    assert (got[got["id"] < 69]["refers_to"] == 69).all() and (got[got["id"] >= 69]["record_type"] == "response").all()
 
 
 def test_archive_notices_damage(spark):
     archive = warc.write(spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string"))
-    spark.createDataFrame([("0" * 64, bytearray(b"abc"))], "sha256 string, payload binary").write.mode("append").parquet(archive.payloads)
+    spark.createDataFrame([("0" * 64, bytearray(zstandard.compress(b"abc")), 1)], "sha256 string, packed binary, records long").write.mode("append").parquet(archive.payloads)
     with pytest.raises(Exception, match="differs from its digest"):
         warc.payloads(spark, archive).collect()
 
