@@ -9,7 +9,9 @@ three longest contexts; an adaptive table indexed by the byte so far and the mix
 Counts come from all training texts: n-grams are counted in each task, added up by a shuffle, and turned into bit counts in
 tables of 2**22 slots at most for each order (two bytes a slot), the only part that is broadcast.  Weights and refinement
 are learned online from the same counted n-grams, each occurrence predicted from all the others (its own count is taken
-away first); tasks learn in parallel from the same start and their results are averaged.  A model is fixed while it scores.
+away first).  As many learners as the n-grams call for, each with about ``GRAMS_EACH`` of them at every size, learn in
+parallel from the same start; a shuffle adds up what they learned, in whole numbers, weighted by what each has seen.  What a
+learner does depends on its n-grams alone, not on how they come in batches.  A model is fixed while it scores.
 
 The base score is a unigram model over hashed words (64 bits).  Words with more than 1 / 2**19 of all tokens, fewer than
 2**19, are looked up in a broadcast table; all others are joined by a shuffle.
@@ -29,15 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, chunks, materialise, mix64, prefix_hash, span_hash, text_bytes, token_spans
+from ._common import LOWER, chunks, materialise, mix64, named, prefix_hash, span_hash, text_bytes, token_spans
 
 ORDERS = (1, 2, 3, 4, 5)
 MOST_BITS, LEAST_BITS = 22, 14
 END, BLANK, PAD = 10, 32, 5
 END_KEY = 0
 FREQUENT = 1 << 19
-#: Most tasks that learn weights side by side, and the n-grams that each should have.
-LEARNERS, GRAMS_EACH = 24, 100_000
+#: Distinct n-grams that a learner has, on average.
+GRAMS_EACH = 100_000
+#: Weights are added up in whole numbers of this share.
+_UNIT = 1 << 16
 CHUNK = 1 << 19
 _STEP = 10  # quantised counts: ten steps for each doubling
 _COUNT = np.exp2(np.arange(256) / _STEP) - 1
@@ -274,21 +278,22 @@ def fit(grams: DataFrame) -> Model:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, hits, seen = start.copy(), np.zeros((2, 256 * BUCKETS)), 0
-        rng = np.random.default_rng(5)
-        for batch in batches:
-            if batch.num_rows:
-                n = batch.column("n").to_numpy()
-                shared.value.learn(batch.column("key").to_numpy().view(np.uint64), n, rng, weights, hits)
-                seen += int(n.sum())
-        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([hits.tobytes()], pa.binary()), pa.array([seen])], ["weights", "hits", "seen"])
-
-    mixed = grams.repartition(min(LEARNERS, n // GRAMS_EACH + 1), F.xxhash64("key")).sortWithinPartitions(F.xxhash64("key", F.lit(1)))
-    total, weights, hits = 0, np.zeros(start.shape), np.zeros((2, 256 * BUCKETS))
-    for w, h, seen in mixed.select("key", "n").mapInArrow(run, "weights binary, hits binary, seen long").collect():  # a small row from each learner
-        total += seen
-        weights += seen * np.frombuffer(w, np.float32).reshape(start.shape)
-        hits += np.frombuffer(h).reshape(hits.shape)
+        own = [(b.column("key").to_numpy().view(np.uint64), b.column("n").to_numpy()) for b in batches if b.num_rows]  # about GRAMS_EACH rows
+        if not own:
+            return
+        keys, n = np.concatenate([k for k, _ in own]), np.concatenate([c for _, c in own])
+        weights, hits, seen = start.copy(), np.zeros((2, 256 * BUCKETS)), int(n.sum())
+        shared.value.learn(keys, n, np.random.default_rng(5), weights, hits)
+        cells = np.concatenate([[seen], np.round(weights.ravel() * _UNIT).astype(np.int64) * seen, hits.ravel().astype(np.int64)])
+        at = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], ["cell", "value"])
+
+    mixed = grams.repartition(n // GRAMS_EACH + 1, F.xxhash64("key")).sortWithinPartitions(F.xxhash64("key", F.lit(1)))
+    added = mixed.select("key", "n").mapInArrow(run, "cell long, value long").groupBy("cell").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value"))
+    cells = np.zeros(1 + start.size + 2 * 256 * BUCKETS)
+    for cell, value in added.collect():  # a row for each weight and each cell of the refinement table, whatever the number of learners
+        cells[cell] = float(value)
+    total, weights, hits = cells[0], cells[1 : 1 + start.size].reshape(start.shape) / _UNIT, cells[1 + start.size :].reshape(2, -1)
     if not total:
         return model
     prior = 8.0
@@ -379,7 +384,7 @@ def score(docs: DataFrame, training: DataFrame, text_col: str = "text", keep: tu
             yield scored_part(part, scorer, uid)
             uid += part.num_rows
 
-    own = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("string").alias("_text"))
+    own = docs.select(*(named(c) for c in keep), F.col(text_col).cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[: len(keep)])
     scored = materialise(own.mapInArrow(run, f"{schema}, _uid long, n_tokens long, _known long, _base double, _logp double, _bytes long, _rare array<long>"), "scored")
     n = F.coalesce("n", F.lit(0))
@@ -388,7 +393,7 @@ def score(docs: DataFrame, training: DataFrame, text_col: str = "text", keep: tu
     joined = scored.drop("_rare").join(rest, "_uid", "left")
     ln10 = float(np.log(10))
     return joined.select(
-        *(F.col(f"`{c}`") for c in keep),
+        *(named(c) for c in keep),
         "n_tokens",
         (F.col("_known") + F.coalesce("_more", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
