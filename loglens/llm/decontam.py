@@ -12,11 +12,14 @@ windows are aligned by this number, rising, until none can be better.
 
 Characters are UTF-8 bytes of the text in lower case with white space runs as single blanks; k is ``rate`` times m.
 
-Items travel to the executors in blocks of a fixed number of bytes.  Defined results: null and empty texts hold no item;
-items without ``least`` characters must stand in the text without edits and not inside a longer word; items with equal
-texts are each reported;
-null item ids are reported as null; repeated rows are each searched; an empty table on either side gives no leaks;
-texts may be of any length; other columns are passed on unchanged.
+Items travel to the executors in blocks of a fixed number of bytes.  A benchmark of one block is searched for in one pass;
+for a larger one every block reads no more than row numbers and texts, and what is found is joined to the rows at the end.
+Where q-grams are common to many items, texts and items are halved until the hits that are held at a time are few.
+
+Defined results: null and empty texts hold no item; items without ``least`` characters must stand in the text without edits
+and not inside a longer word; items with equal texts are each reported; null item ids are reported as null; repeated rows
+are each searched; an empty table on either side gives no leaks; texts may be of any length; other columns are passed on
+unchanged.
 """
 
 from __future__ import annotations
@@ -28,16 +31,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ._common import chunks, materialise, mix64
+from ._common import chunks, fresh, materialise, mix64, named, shared_dir
 
 Q = 8
 RATE = 0.1
 LEAST = 32
 #: Characters of a window, and from one to the next.
 WINDOW, STEP = 72, 1
-#: Bytes of item text that are sent out at once.
-BLOCK_BYTES = 1 << 20
+#: Bytes of item text that are sent out at once; an index takes about 24 times as much memory.
+BLOCK_BYTES = 1 << 23
+#: Pairs of equal q-grams that are held at a time.
+MOST_HITS = 1 << 21
 #: Bytes that make up words: ASCII letters and digits, and all beyond ASCII.
 IS_WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 LEAKS = "array<struct<item_id:bigint,edits:int,start:bigint,length:bigint,share:double>>"
@@ -107,12 +113,14 @@ class Index:
     window: int = WINDOW
     step: int = STEP
     short_of: int = LEAST
-    grams: np.ndarray = field(init=False)
+    numbers: list[int] | None = None
     owner: np.ndarray = field(init=False)
     place: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         size = np.array([len(x) for x in self.texts], dtype=np.int64)
+        self.numbers = self.numbers or list(range(len(self.texts)))  # of the items in the whole block
+        self._halves: list[Index] = []
         self.budget, self.bound = self.limits(size)
         (self.window_budget,), (self.window_bound,) = self.limits(np.array([self.window]))
         self.least = np.where(size > self.window, np.minimum(self.bound, self.window_bound), self.bound)
@@ -123,11 +131,14 @@ class Index:
         h = grams_at(data, self.q)[at]
         owner = np.searchsorted(off, at, "right") - 1
         order = np.argsort(h, kind="stable")
-        self.grams, self.owner, self.place = h[order], owner[order], (at - off[owner])[order]
-        self.first = np.flatnonzero(np.diff(self.grams, prepend=~self.grams[:1])) if len(h) else np.zeros(0, np.int64)
-        self.distinct, self.times = self.grams[self.first], np.diff(self.first, append=len(h))
-        self.seen = np.zeros(1 << 22, dtype=bool)
-        self.seen[(self.distinct >> np.uint64(42)).astype(np.int64)] = True
+        h, self.owner, self.place = h[order], owner[order].astype(np.int32), (at - off[owner])[order].astype(np.int32)
+        self.first = np.flatnonzero(np.diff(h, prepend=~h[:1])) if len(h) else np.zeros(0, np.int64)
+        self.distinct, self.times = h[self.first], np.diff(self.first, append=len(h)).astype(np.int32)
+        self.first = self.first.astype(np.int32)
+        bits = int(min(26, max(16, len(h).bit_length() + 2)))
+        self.high = np.uint64(64 - bits)
+        self.seen = np.zeros(1 << bits, dtype=bool)
+        self.seen[(self.distinct >> self.high).astype(np.int64)] = True
         # Items too short for edits, by the number of their first bytes that are looked up, and by these bytes.
         self.short: dict[int, dict[int, list[int]]] = {}
         for i, x in enumerate(self.texts):
@@ -189,16 +200,29 @@ class Index:
         off = np.concatenate([[0], np.cumsum(size)])
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         self._search_short(texts, data, off, found)
-        if len(data) >= self.q and len(self.grams):
-            self._search_long(texts, data, off, found)
+        if len(self.distinct):
+            self._search_long([(t, d, 0) for d, t in enumerate(texts)], found)
         name = lambda i: (self.ids[i] is None, self.ids[i] or 0)
         leak = lambda i, part, edits, start, length: {"item_id": self.ids[i], "edits": edits, "start": start, "length": length, "share": self.window / len(self.texts[i]) if part else 1.0}
         return [[leak(i, *f[i]) for i in sorted(f, key=name)] for f in found]
 
-    def _search_long(self, texts: list[bytes], data: np.ndarray, off: np.ndarray, found: list[dict]) -> None:
-        """Adds the best place of each item that is found within its edits, or in part."""
+    def halves(self) -> list[Index]:
+        if not self._halves:
+            cut = len(self.texts) // 2
+            self._halves = [Index(self.ids[a:b], self.texts[a:b], self.q, self.rate, self.window, self.step, self.short_of, self.numbers[a:b]) for a, b in ((0, cut), (cut, len(self.texts)))]
+        return self._halves
+
+    def _search_long(self, spans: list[tuple[bytes, int, int]], found: list[dict]) -> None:
+        """Adds the best place of each item that is found within its edits, or in part.
+
+        ``spans`` are stretches of texts, the number of each one's text, and where it begins there.
+        """
+        data = np.frombuffer(b"".join(t for t, _, _ in spans), dtype=np.uint8)
+        off = np.concatenate([[0], np.cumsum([len(t) for t, _, _ in spans])]).astype(np.int64)
         h = grams_at(data, self.q)
-        at = np.flatnonzero(self.seen[h >> np.uint64(42)])
+        at = np.flatnonzero(self.seen[h >> self.high])
+        if not len(at) or not len(self.distinct):
+            return
         row = np.minimum(np.searchsorted(self.distinct, h[at]), len(self.distinct) - 1)
         known = self.distinct[row] == h[at]
         at, row = at[known], row[known]
@@ -206,8 +230,22 @@ class Index:
         inside = at + self.q <= off[doc + 1]
         at, row = at[inside], row[inside]
         times = self.times[row]
+        if times.sum(dtype=np.int64) > MOST_HITS:
+            reach = max(map(len, self.texts)) + int(self.budget.max()) + self.stride
+            if len(spans) > 1:
+                self._search_long(spans[: len(spans) // 2], found)
+                return self._search_long(spans[len(spans) // 2 :], found)
+            text, d, begin = spans[0]
+            if len(text) > 4 * reach:  # what begins before the middle ends within reach of it
+                cut = len(text) // 2
+                self._search_long([(text[: cut + reach], d, begin)], found)
+                return self._search_long([(text[cut:], d, begin + cut)], found)
+            if len(self.texts) > 1:
+                for half in self.halves():
+                    half._search_long(spans, found)
+                return None
         each = np.repeat(self.first[row] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        where, item = np.repeat(at, times), self.owner[each]
+        where, item = np.repeat(at, times), self.owner[each].astype(np.int64)
         diagonal = where - self.place[each] + self.stride * 64  # items may start before the first text
         doc = np.searchsorted(off, where, "right") - 1
         band = diagonal // self.stride + doc * 2  # a band belongs to one text
@@ -221,15 +259,17 @@ class Index:
         ok = count >= self.least[key[start] // wide]
         for a, n in zip(start[ok].tolist(), count[ok].tolist(), strict=True):
             hits = both[a : a + n]
-            i, d = int(item[hits[0]]), int(docs[a])
-            best = found[d].get(i, (True, 1 << 30, 0, 0))
+            i, span = int(item[hits[0]]), int(docs[a])
+            text, d, begin = spans[span]
+            best = found[d].get(self.numbers[i], (True, 1 << 30, 0, 0))
             if best[:2] == (False, 0):
                 continue
-            text, pattern = texts[d], self.texts[i]
-            places, diagonals = self.place[each[hits]], where[hits] - self.place[each[hits]] - off[d]
+            pattern = self.texts[i]
+            places = self.place[each[hits]].astype(np.int64)
+            diagonals = where[hits] - places - off[span]
             distinct = np.unique(places)  # the same place may have been hit again
             if len(distinct) >= self.bound[i] and (got := self._place(pattern, int(self.budget[i]), text, diagonals)):
-                best = min(best, (False, *got))
+                best = min(best, (False, got[0], got[1] + begin, got[2]))
             if best[0] and best[1] and len(pattern) > self.window and len(distinct) >= self.window_bound:
                 starts = np.array([*range(0, len(pattern) - self.window, self.step), len(pattern) - self.window])
                 fewest = self._fewest(distinct, starts, len(pattern))
@@ -239,42 +279,56 @@ class Index:
                         break
                     own = (places >= w) & (places <= w + self.window - self.q)
                     if got := self._place(pattern[w : w + self.window], int(self.window_budget), text, diagonals[own] + w):
-                        best = min(best, (True, *got))
+                        best = min(best, (True, got[0], got[1] + begin, got[2]))
             if best[1] < 1 << 30:
-                found[d][i] = best
+                found[d][self.numbers[i]] = best
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[int | None, str]]]:
-    """The items in blocks of about ``limit`` bytes; only one block at a time is on the driver."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> tuple[int, DataFrame]:
+    """The number of blocks of about ``limit`` bytes, and the items (i, t, block)."""
     own = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).filter(F.octet_length("t") > 0)
     total = own.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = -(-total // limit)
-    for b in range(n):
-        yield [tuple(r) for r in own.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).sort("i", "t").collect()]
+    return n, own.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(max(n, 1))))
+
+
+LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("share", pa.float64())]))
 
 
 def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = Q, rate: float = RATE, least: int = LEAST, into: str = "leaks", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with a column ``into``: the leaked items of each row, with edits, start and length in the normalised text, and share."""
-    out = docs.withColumn(into, F.array().cast(LEAKS))
-    for n, block in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):
-        pairs = [(i, x) for i, t in block if (x := normalise(t))]
-        if not pairs:
-            continue
-        shared = docs.sparkSession.sparkContext.broadcast(([i for i, _ in pairs], [x for _, x in pairs]))
-        names = out.columns
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, names=names) -> Iterator[pa.RecordBatch]:
+    context = docs.sparkSession.sparkContext
+    leaks_field = lambda name: docs.sparkSession.range(0).select(F.array().cast(LEAKS).alias(name)).schema.fields
+    n, items = _blocks(benchmark, item_id, item_text, block_bytes)
+
+    def searched(rows: DataFrame, block: int, column: str, all_rows: bool) -> tuple[DataFrame, object]:
+        """``rows`` with what they hold of one block, all of them or only those that hold something."""
+        pairs = [(r["i"], x) for r in items.filter(F.col("block") == block).sort("i", "t").collect() if (x := normalise(r["t"]))]  # one block at a time is on the driver
+        shared = context.broadcast(([i for i, _ in pairs], [x for _, x in pairs]))
+        names = rows.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = None
             for part in chunks(batches, text_col):
                 index = index or Index(*shared.value, q=q, rate=rate, short_of=least)
                 got = index.search([normalise(t) for t in part.column(text_col).to_pylist()])
-                leaks = part.column(into)
-                if n:
-                    got = [[*a, *b] for a, b in zip(leaks.to_pylist(), got, strict=True)]
-                kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("share", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([pa.array(got, kind) if c == into else part.column(c) for c in names], names)
-
-        if n:
-            out = materialise(out, "leaks")
-        out = out.mapInArrow(run, out.schema)
-    return out
+                if not all_rows:
+                    own = [k for k, x in enumerate(got) if x]
+                    part, got = part.take(pa.array(own, pa.int64())), [got[k] for k in own]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, LEAK)], [*names, column])
+
+        return rows.mapInArrow(run, StructType(rows.schema.fields + leaks_field(column))), shared
+
+    if n <= 1:
+        return searched(docs, 0, into, True)[0] if n else docs.withColumn(into, F.array().cast(LEAKS))
+    row = fresh(docs, "_row")
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "leak-rows")  # numbers are written once
+    path = shared_dir(docs.sparkSession, "leaks")
+    for block in range(n):
+        got, shared = searched(rows.select(row, text_col), block, into, False)
+        got.drop(text_col).write.mode("append").parquet(path)
+        shared.unpersist()
+    by_id = F.array_sort(F.flatten(F.collect_list(into)), lambda a, b: F.when(F.coalesce(a["item_id"], F.lit(2**63 - 1)) < F.coalesce(b["item_id"], F.lit(2**63 - 1)), -1).otherwise(1))
+    found = docs.sparkSession.read.parquet(path).groupBy(row).agg(by_id.alias(into))
+    none = F.array().cast(LEAKS)
+    return rows.join(found, row, "left").select(*(named(c) for c in docs.columns), F.coalesce(named(into), none).alias(into))
