@@ -14,8 +14,8 @@ Turns are formatted row by row; a conversation is the concatenation of its turns
 stream: no conversation is ever held whole.
 
 Defined results: null texts are empty, null roles are the empty role; a null conversation id is a conversation of its own;
-null turns come first and equal turns follow each other by role and text; repeated rows are repeated turns; unknown part
-types are kept as text of their JSON; an empty table gives no rows; other columns are ignored.
+null turns come first and equal turns follow each other by role and text; repeated rows are repeated turns; null parts are
+left out, unknown part types are kept as text of their JSON; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +29,11 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
+
+from ._common import chunks, named
 
 HEADER, COLON, END = "### ", ": ", "</turn>\n"
 _CONTROL = re.compile(r"\\|###|</turn>|<\|")
@@ -92,7 +95,7 @@ def parts_of(content: Any) -> list[Any]:
     """Typed parts of a content: text is one part, null is none."""
     if content is None:
         return []
-    return content if isinstance(content, list) else [content]
+    return [p for p in content if p is not None] if isinstance(content, list) else [content]
 
 
 def format_turn(role: str | None, content: Any, loss_role: str = "assistant") -> tuple[str, tuple[int, int], list[dict[str, Any]]]:
@@ -109,11 +112,24 @@ def format_turn(role: str | None, content: Any, loss_role: str = "assistant") ->
 TURN = "conv_id long, turn long, formatted string, loss_start long, loss_end long, attachments array<struct<position:int,kind:string,ref:string,tokens:long>>"
 
 
+PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
+
+
+def text_part(text: Column) -> Column:
+    """A list of one typed part, for contents that are plain text; null text is empty."""
+    named = [F.lit("text").alias("type"), F.coalesce(text.cast("string"), F.lit("")).alias("text"), *(F.lit(None).alias(x) for x in ("ref", "width", "height", "seconds", "pages"))]
+    return F.array(F.struct(*named).cast(PART))
+
+
 def format_turns(conversations: DataFrame, content_col: str = "text", json_parts: bool = False) -> DataFrame:
-    """A formatted turn for each row (conv_id, turn, role, content); with ``json_parts`` a content that is a JSON list of parts is taken apart."""
+    """A formatted turn for each row (conv_id, turn, role, content).
+
+    A content is text, a column of typed parts (``array<PART>``), or with ``json_parts`` text of which a JSON list of parts is taken apart.
+    """
+    typed = isinstance(conversations.schema[content_col].dataType, ArrayType)
 
-    def content(text: str | None) -> Any:
-        if json_parts and text and text.lstrip().startswith("["):
+    def content(text: Any) -> Any:
+        if json_parts and isinstance(text, str) and text.lstrip().startswith("["):
             try:
                 return json.loads(text)
             except ValueError:
@@ -123,14 +139,16 @@ def format_turns(conversations: DataFrame, content_col: str = "text", json_parts
     kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in chunks(batches, "_size"):  # not more text at a time than one step needs
             made = [format_turn(r, content(t)) for r, t in zip(b.column("role").to_pylist(), b.column("content").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("conv_id"), b.column("turn"), pa.array([m[0] for m in made], pa.string()), pa.array([m[1][0] for m in made], pa.int64()), pa.array([m[1][1] for m in made], pa.int64()), pa.array([m[2] for m in made], kind)],
                 ["conv_id", "turn", "formatted", "loss_start", "loss_end", "attachments"],
             )
 
-    own = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col(content_col).cast("string").alias("content"))
+    said = named(content_col) if typed else named(content_col).cast("string")
+    size = F.aggregate(said, F.lit(0).cast("long"), lambda n, p: n + F.coalesce(F.octet_length(p["text"]), F.lit(0))) if typed else F.octet_length(said).cast("long")
+    own = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), said.alias("content"), size.alias("_size"))
     return own.mapInArrow(run, TURN)
 
 
@@ -151,7 +169,8 @@ def read_back(turns: DataFrame) -> DataFrame:
     """Digests of each conversation, from nothing but formatted turns and their loss spans.
 
     Columns: conv_id, n_turns, turns_sha256 (role, line end, text, line end of each turn), loss_chars and loss_sha256 (all
-    text under the loss mask, unescaped), formatted_chars.
+    text under the loss mask, unescaped), formatted_chars, n_attachments and attachment_tokens (what the placeholders in the
+    formatted text stand for once expanded).  Placeholders and recorded attachments that disagree are an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,21 +179,25 @@ def read_back(turns: DataFrame) -> DataFrame:
 
         def close() -> None:
             if state:
-                conv, n, turns_, chars, loss, size = state
-                done.append((conv, n, turns_.hexdigest(), chars, loss.hexdigest(), size))
+                conv, n, turns_, chars, loss, size, held, tokens = state
+                done.append((conv, n, turns_.hexdigest(), chars, loss.hexdigest(), size, held, tokens))
 
         def flush() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            out = pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            out = pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "attachment_tokens"])
             done.clear()
             return out
 
-        for b in batches:
-            for conv, text, a, z in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end")), strict=True):
+        for b in chunks(batches, "formatted"):
+            for conv, text, a, z, held in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end", "attachments")), strict=True):
                 if not state or state[0] != conv:
                     close()
-                    state[:] = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    state[:] = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
                 role, said = read_turn(text)
+                if attachment_of(text) != [(x["kind"], x["position"]) for x in held or []]:
+                    raise ValueError("placeholders and attachments disagree")
+                state[6] += len(held or [])
+                state[7] += sum(x["tokens"] for x in held or [])
                 state[1] += 1
                 state[2].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
                 learned = unescape(text[a:z])
@@ -187,4 +210,5 @@ def read_back(turns: DataFrame) -> DataFrame:
         yield flush()
 
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "formatted")
-    return ordered.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, attachment_tokens long"
+    return ordered.select("conv_id", "formatted", "loss_start", "loss_end", "attachments").mapInArrow(run, schema)

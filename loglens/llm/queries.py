@@ -37,7 +37,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline_stages.pack(spark, table(spark, sf_dir, "documents"), sf_dir)
+    return pipeline_stages.packed(table(spark, sf_dir, "documents"), False)
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +48,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").schema)
-    turns = chat.format_turns(rows.unionByName(extra))
-    return chat.read_back(turns)
+    parts = rows.unionByName(extra).withColumn("content", chat.text_part(F.col("text")))
+    return chat.read_back(chat.format_turns(parts, "content"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ rows as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as
 escaped as (select *, replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '###', chr(92) || '###'), '</turn>', chr(92) || '</turn>'), '<|', chr(92) || '<|') as e from rows)
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
-  cast(sum(4 + length(role) + 2 + length(e) + 8) as bigint) as formatted_chars
+  cast(sum(4 + length(role) + 2 + length(e) + 8) as bigint) as formatted_chars, cast(0 as bigint) as n_attachments, cast(0 as bigint) as attachment_tokens
 from escaped group by conv_id"""
 
 _WARC_SQL = """
