@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at a time by the vectorised operators; one longer text is handled alone.
@@ -53,6 +53,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have yet, whatever the case of its own names."""
     taken = {c.lower() for c in df.columns}
@@ -86,11 +91,15 @@ def bucket_of(doc_id: int | None, buckets: int) -> int:
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slice Arrow batches so that each slice has about ``limit`` bytes of text, and 1 to 32,768 rows."""
+    """Slice Arrow batches so that each slice has about ``limit`` bytes of text, and 1 to 32,768 rows.
+
+    ``column`` holds the texts, or their sizes as whole numbers.
+    """
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        own = batch.column(column)
+        size = pc.fill_null(own if pa.types.is_integer(own.type) else pc.binary_length(own), 0).to_numpy(zero_copy_only=False)
         block = np.cumsum(size, dtype=np.int64) // limit + np.arange(len(size)) // 32768  # rows are numbered in 16 bits
         cuts = np.flatnonzero(np.diff(block)) + 1
         edges = [0, *cuts.tolist(), batch.num_rows]

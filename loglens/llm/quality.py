@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from ._common import chunks, materialise, mix64, prefix_hash, span_hash, text_bytes, token_spans
+from ._common import chunks, materialise, mix64, named, prefix_hash, span_hash, text_bytes, token_spans
 
 ROWS = 1 << 15
 DIMS = 24
@@ -194,7 +195,6 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
             score = shared.value.score(pooled(*text_bytes(part.column(source)), shared.value.vectors).astype(np.float64))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*keep, *into])
 
-    own = docs.select(*(F.col(f"`{c}`") for c in keep), *([] if text_col in keep else [F.col(text_col).cast("string").alias("_text")]))
+    own = docs.select(*(named(c) for c in keep), *([] if text_col in keep else [F.col(text_col).cast("string").alias("_text")]))
     source = text_col if text_col in keep else "_text"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[: len(keep)])
-    return own.mapInArrow(run, f"{schema}, `{into[0]}` double, `{into[1]}` int")
+    return own.mapInArrow(run, StructType([*own.schema.fields[: len(keep)], StructField(into[0], DoubleType()), StructField(into[1], IntegerType())]))

@@ -6,7 +6,7 @@ import functools
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -248,6 +248,88 @@ def test_model_probabilities_add_up():
         assert scorer(own) == pytest.approx(model.log_probability(own))
 
 
+def plain_slot(model, order, before, node):
+    """The slot of a context of ``order`` + 1 bytes and the bits so far, with whole numbers."""
+    m64 = 2**64 - 1
+    h = (before & (1 << 8 * lm.ORDERS[order]) - 1) ^ lm.ORDERS[order] << 56
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & m64
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & m64
+    h = (h ^ h >> 31 ^ node * 0x9E3779B97F4A7C15) & m64
+    h = h * 0xD6E8FEB86659FD93 & m64
+    return (h >> 64 - model.bits[order]) + sum(1 << b for b in model.bits[:order])
+
+
+def plain_bytes(text):
+    return b"".join(w.encode() + b" " for w in tokens(text)[:-1]) + b"\n"
+
+
+def plain_log2(model, counts, text):
+    """Bits of a text, bit by bit, from plain counts of zeros and ones."""
+    raw = b"\n" * lm.PAD + plain_bytes(text)
+    total = 0.0
+    for at in range(lm.PAD, len(raw)):
+        before, byte = int.from_bytes(raw[at - 5 : at], "big"), raw[at]
+        for b in range(8):
+            node, bit = 1 << b | byte >> 8 - b, byte >> 7 - b & 1
+            x, gate = [], 0
+            for k in range(len(lm.ORDERS)):
+                pair = [min(255, round(10 * math.log2(n + 1))) for n in counts[plain_slot(model, k, before, node)]]
+                near = [2 ** (q / 10) - 1 for q in pair]
+                x.append(math.log(near[1] + 0.4) - math.log(near[0] + 0.4))
+                if k >= 2:
+                    gate = gate * 5 + sum(max(near) >= e for e in (0.5, 1.7, 5.5, 29.5))
+            t = sum(float(model.weights[k][gate]) * v for k, v in enumerate([*x, 0.3]))
+            t = min(max(t, -11.5), 11.5)
+            where = (t + 12) * 32 / 24
+            low = int(where)
+            cells = model.refine[node * 33 + low], model.refine[node * 33 + low + 1]
+            refined = cells[0] * (1 - (where - low)) + cells[1] * (where - low)
+            p = 0.5 / (1 + math.exp(-t)) + 0.5 * refined
+            total += math.log2(p if bit else 1 - p)
+    return total
+
+
+def test_score_like_a_bit_by_bit_mixer(spark):
+    texts = ["The cat sat on the mat", "the cat ate the rat", "größe Übung", "", "a cat  sat\ton THE rat", "0 1 2"]
+    training = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:4])], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    grams = lm.count(training).filter("kind = 0").select("key", "n")
+    model = lm.fit(grams)
+    counts = defaultdict(lambda: [0, 0])
+    for t in texts[:4]:
+        raw = b"\n" * lm.PAD + plain_bytes(t)
+        for at in range(lm.PAD, len(raw)):
+            before, byte = int.from_bytes(raw[at - 5 : at], "big"), raw[at]
+            for b in range(8):
+                for k in range(len(lm.ORDERS)):
+                    counts[plain_slot(model, k, before, 1 << b | byte >> 8 - b)][byte >> 7 - b & 1] += 1
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs, training).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(plain_log2(model, counts, t) * math.log10(2), rel=1e-4)
+
+
+def test_scores_do_not_depend_on_batches(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    seen = []
+    for size in ("10000", "50"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            seen.append({r["doc_id"]: (r["score"], r["n_known"]) for r in lm.score(docs, docs.filter("doc_id % 3 > 0")).collect()})
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert seen[0] == seen[1]
+
+
+def test_several_learners_are_averaged(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    grams = lm.count(docs).filter("kind = 0").select("key", "n").persist()
+    monkeypatch.setattr(lm, "GRAMS_EACH", grams.count() // 4)
+    model = lm.fit(grams)
+    assert np.isfinite(model.weights).all() and 0 < model.refine.min() and model.refine.max() < 1
+    assert np.abs(model.weights - 0.25).max() > 0.05
+    grams.unpersist()
+
+
 def test_scores_of_the_small_tables(spark):
     got = queries.op2_lm(spark, SMALL).toPandas()
     docs = pd.read_parquet(f"{SMALL}/documents.parquet")

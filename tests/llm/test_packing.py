@@ -76,6 +76,15 @@ def test_encoder_equals_the_tokenizer():
     assert BPE()(texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_encoder_equals_the_tokenizer_on_a_whole_table():
+    import pandas as pd
+    from tokenizers import Tokenizer
+
+    texts = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")["text"].fillna("").tolist()
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert BPE()(texts) == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("clash", [False, True])
 def test_packs_odd_documents_whole(spark, clash):
     docs = documents(spark, clash=clash)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import random
+import zlib
 
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -62,7 +65,37 @@ def test_stages_on_the_middle_tables(spark):
 
 def test_run(spark):
     got = corpus_pipeline.run(spark, SMALL)
-    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and got.count() > 100
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"]
+    rows = got.toPandas()
+    assert len(rows) > 100 and (rows["ids"].map(len) == rows["length"]).all()
+    assert all(zlib.crc32(np.asarray(i, "<u4").tobytes()) == c for i, c in zip(rows["ids"], rows["ids_crc32"], strict=True))
+    for _, own in rows.sort_values("offset").groupby("sequence_id"):
+        assert list(own["offset"]) == [0, *np.cumsum(own["length"])[:-1]] and own["length"].sum() <= 1024
+
+
+#: Names that stages and operators use inside, some in another case, with types that a schema written as text would spoil.
+INSIDE = ["_score", "_predicted", "_lang", "_LIKENESS", "_row", "_row_", "_leaks", "score", "predicted", "_text", "text_", "_salt", "_found", "node", "band", "leaks"]
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    kinds = {c: F.lit(c) for c in INSIDE} | {"odd name, with: marks": F.struct(F.lit(1).alias("a b"), F.array(F.lit("x")).alias("c,d")), "when": F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")}
+    docs = documents(spark, [(i, " ".join(f"the word number {i * k % 97}" for k in range(60)), "en", "s", 1) for i in range(1, 30)]).withColumns(kinds)
+    path = folder(spark, tmp_path, documents=docs)
+    now = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        out = materialise(stage(spark, now, path), "test-names")
+        assert out.columns == docs.columns and out.count() and out.schema == now.schema
+        assert out.select(*INSIDE).distinct().collect() == [tuple(INSIDE)]
+    out = corpus_pipeline.STAGES[0][1](spark, now, path)
+    assert out.columns == docs.columns and out.count() >= 0
+
+
+def test_languages_that_were_not_learned_go(spark, tmp_path):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    other = ["To jest tekst napisany w języku polskim, który mówi o wielu sprawach życia codziennego i o czasie", "Bu metin Türkçe yazılmıştır ve günlük hayatın birçok konusundan bahsetmektedir çünkü zaman hızlı geçiyor", "qzxw vkjq wxyz qqqq zzxj kkwq pqxz", "Это русский текст о погоде", "这是中文文本"]
+    more = docs.sparkSession.createDataFrame([(-1 - i, t, None, "s", 1) for i, t in enumerate(other)], docs.schema)
+    kept = dict(corpus_pipeline.STAGES)["language"](spark, docs.unionByName(more), MIDDLE)
+    assert kept.filter("doc_id < 0").count() == 0 and kept.count() == docs.count()
 
 
 @pytest.mark.parametrize("rows", [[], None])

@@ -248,13 +248,27 @@ def plain_digests(rows):
 def test_conversations(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "### x</turn>"), (1, 2, "assistant", None), (2, 5, None, "x"), (2, None, "system", ""), (None, 0, "assistant", "ä\\"), (3, 0, "assistant", "y" * 300_000), (3, 1, "a: b", "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("formatted", "loss_start", "content")})
-    got = {r["conv_id"]: tuple(r)[1:] for r in chat.read_back(chat.format_turns(df)).collect()}
+    got = {r["conv_id"]: tuple(r)[1:6] for r in chat.read_back(chat.format_turns(df)).collect()}
     assert got == plain_digests(rows)
     assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
     twice = chat.read_back(chat.format_turns(df.unionAll(df))).filter("conv_id = 3").first()
     assert twice["n_turns"] == 4
 
 
+def test_typed_contents(spark):
+    parts = [{"type": "text", "text": "see <|image 0|> "}, {"type": "image", "ref": "a.png", "width": 560, "height": 280}, None, {"type": "audio", "ref": "b.wav", "seconds": 2.5}, {"type": "text", "text": None}, {"type": "document", "ref": "c.pdf", "pages": 3}]
+    rows = [(1, 0, "user", parts), (1, 1, "assistant", [{"type": "text", "text": "ok"}]), (2, 0, "assistant", []), (3, 0, "user", None)]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, content array<{chat.PART}>")
+    turns = chat.format_turns(df, "content")
+    first = turns.filter("conv_id = 1 and turn = 0").first()
+    assert first["formatted"] == "### user: see \\<|image 0|> <|image 0|><|audio 1|><|document 2|></turn>\n"
+    assert [(a["position"], a["kind"], a["ref"], a["tokens"]) for a in first["attachments"]] == [(0, "image", "a.png", 200), (1, "audio", "b.wav", 63), (2, "document", "c.pdf", 1536)]
+    got = {r["conv_id"]: (r["n_turns"], r["n_attachments"], r["attachment_tokens"], r["loss_chars"]) for r in chat.read_back(turns).collect()}
+    assert got == {1: (2, 3, 200 + 63 + 1536, 2), 2: (1, 0, 0, 0), 3: (1, 0, 0, 0)}
+    with pytest.raises(Exception, match="disagree"):
+        chat.read_back(turns.withColumn("attachments", F.slice("attachments", 1, 2))).collect()
+
+
 def test_json_contents(spark):
     parts = json.dumps([{"type": "text", "text": "a"}, {"type": "image", "ref": "r"}])
     df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "user", "[no json")], "conv_id long, turn long, role string, text string")
@@ -481,6 +495,26 @@ def test_leaks_like_brute_force(spark):
     assert {(r["doc_id"], x["item_id"], x["edits"]) for r in small.collect() for x in r["leaks"]} == {(k, i, x["edits"]) for (k, i), x in got.items()}
 
 
+def test_many_blocks_and_common_grams(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(30)]
+    stem = "which of the following answers is the best one to give here "
+    items = [(i if i else None, stem + " ".join(rng.choice(words) for _ in range(12))) for i in range(60)] + [(90, "short one")]
+    texts = [" ".join([rng.choice(words) for _ in range(40)] + ([edited_item(rng, items[i][1], i % 5)] if i % 3 else []) + [rng.choice(words) for _ in range(150 * (i == 5) + 20)]) for i in range(40)] + [stem * 3, "a short one here", None]
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, _row long")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = {r["doc_id"]: r["leaks"] for r in decontam.mark_leaks(docs, bench).collect()}
+    assert any(whole.values()) and len(whole) == len(texts)
+    parts = decontam.mark_leaks(docs, bench, block_bytes=1000)
+    assert parts.columns == ["doc_id", "text", "_row", "leaks"] and {r["doc_id"]: r["leaks"] for r in parts.collect()} == whole
+    index = decontam.Index([i for i, _ in items], [decontam.normalise(t) for _, t in items])
+    own = [decontam.normalise(t) for t in texts]
+    want = index.search(own)
+    monkeypatch.setattr(decontam, "MOST_HITS", 50)
+    again = decontam.Index(index.ids, index.texts).search(own)
+    assert [[(x["item_id"], x["edits"], x["share"]) for x in r] for r in again] == [[(x["item_id"], x["edits"], x["share"]) for x in r] for r in want]
+
+
 def test_leaks_in_odd_documents(spark):
     item = "This is the passage of a benchmark, which nobody should train on."
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "too short"), (None, item.upper()), (5, "another passage that is nowhere to be found in here")], "item_id long, text string")
