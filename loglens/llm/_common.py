@@ -70,7 +70,7 @@ def fresh(df: DataFrame, name: str) -> str:
 HOT_ROWS, HOT_KEYS = 256, 1 << 17
 
 
-def join_counted(many: DataFrame, one: DataFrame, key: str, count: str, spread: str, total: int) -> DataFrame:
+def join_counted(many: DataFrame, one: DataFrame, key: str, count: str, spread: list[str], total: int, counts: DataFrame | None = None) -> DataFrame:
     """``many``, of about ``total`` rows, joined to ``one``, which has a row for each key and in ``count`` its number of rows in ``many``.
 
     Keys of very many rows are few, at most HOT_KEYS: their rows are dealt to several tasks by the hash of ``spread``, and
@@ -78,9 +78,9 @@ def join_counted(many: DataFrame, one: DataFrame, key: str, count: str, spread:
     """
     hot = max(HOT_ROWS, -(-total // HOT_KEYS))
     salts = F.ceil(F.col(count) / hot).cast("int")
-    heavy = one.filter(F.col(count) > hot).select(key, salts.alias("_salts"))
+    heavy = (one if counts is None else counts).filter(F.col(count) > hot).select(key, salts.alias("_salts"))
     dealt = many.join(F.broadcast(heavy), key, "left")
-    dealt = dealt.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
+    dealt = dealt.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
     copied = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(count) > hot, salts - 1).otherwise(0))))
     return dealt.join(copied, [key, "_salt"]).drop("_salt")
 

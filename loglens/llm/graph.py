@@ -14,7 +14,7 @@ from ._common import join_counted, materialise
 
 def _with_least(edges: DataFrame, of: DataFrame, total: int) -> DataFrame:
     """``edges`` with the least b that their a has among the edges ``of``, as m; both uses of the counts share one shuffle."""
-    return join_counted(edges, of.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "a", "n", "b", total)
+    return join_counted(edges, of.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "a", "n", ["b"], total)
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:

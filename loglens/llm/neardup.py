@@ -126,7 +126,7 @@ def shared_bands(classes: DataFrame, bands: int) -> DataFrame:
     """
     band = classes.select("node", F.explode("bands").alias("band"))
     counts = materialise(band.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1"), "bands")
-    return join_counted(band, counts, "band", "m", "node", bands * classes.count()).select("band", "node", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    return join_counted(band, counts, "band", "m", ["node"], bands * classes.count()).select("band", "node", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
 
 
 def _blocked(shared: DataFrame) -> DataFrame:
@@ -273,7 +273,7 @@ def candidates(classes: DataFrame, bands: int, threshold: float = THRESHOLD) ->
     # A one-byte minimum agrees by chance once in 256; at the threshold agreement has mean t and error sqrt(t(1-t)/SKETCH).
     floor = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / SKETCH)
     low = F.transform("bands", lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int")).alias("low")
-    rows = _blocked(shared_bands(classes, bands)).join(classes.select("node", "size", low, "sketch"), "node")
+    rows = _blocked(shared_bands(classes, bands).join(classes.select("node", "size", low, "sketch"), "node"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches, KEYS):
@@ -367,10 +367,10 @@ def common_grams(sets: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> n
     return common[low, high].round().astype(np.int64)
 
 
-def verify(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def verify(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Links decided on full sets: rows (node, other, texts, docs).
 
-    ``members`` are ``candidates`` with the copies of each class, ``sets`` (node, grams).  A row says that the node has so
+    ``members`` are ``candidates`` with the copies and the n-gram set of each class.  A row says that the node has so
     many linked classes and documents among its pairs in one pair of blocks, and that ``other`` is in the same component
     (the node itself if none is).
     """
@@ -395,7 +395,7 @@ def verify(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
             at = np.flatnonzero(texts)
             yield pa.RecordBatch.from_arrays([node.take(pa.array(at)), node.take(pa.array(root[at])), pa.array(texts[at]), pa.array(docs[at])], ["node", "other", "texts", "docs"])
 
-    ordered = members.join(sets, "node").repartition(*PARTS).sortWithinPartitions(*PARTS, "pos")
+    ordered = members.repartition(*PARTS).sortWithinPartitions(*PARTS, "pos")
     return ordered.select("node", "copies", "grams", "pos", "mask", *PARTS).mapInArrow(run, "node binary, other binary, texts long, docs long")
 
 
@@ -437,7 +437,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS,
     first = [F.first(c).alias(c) for c in ("size", "bands", "sketch")]
     classes = materialise(feats.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), *first), "classes")
     left = materialise(candidates(classes.filter("size > 0"), bands, threshold), "candidates")
-    chosen = materialise(left.select("node").distinct().join(classes.select("node", "least", "copies"), "node"), "chosen")
+    times = left.groupBy("node").agg(F.count("*").alias("m"))
+    chosen = materialise(times.join(classes.select("node", "least", "copies"), "node"), "chosen")
     # The texts of one document of each class that has candidates.
     ids = chosen.select("least").distinct()
     if chosen.count() <= BROADCAST_IDS:
@@ -445,14 +446,17 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS,
     own = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).cast("string").alias("text"))
     texts = own.join(ids, own["least"].eqNullSafe(ids["least"]), "left_semi")
     sets = gram_sets(texts, n).dropDuplicates(["node"])  # ids may be repeated
-    links = materialise(verify(left.join(chosen.select("node", "copies"), "node"), sets, threshold), "links")
+    sets = sets.join(chosen.select("node", "copies", "m"), "node")
+    # A class with very many pairs is in very many groups.
+    members = join_counted(left, sets, "node", "m", PARTS, left.count(), chosen)
+    links = materialise(verify(members, threshold), "links")
     component = connected_components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = links.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     linked = component.join(classes.select("node", "least"), "node")
     class_ids = linked.groupBy("component").agg(F.min("least").alias("class_least"), F.count("*").alias("m"))
     of = materialise(class_ids, "components")
-    members = join_counted(component, of, "component", "m", "node", component.count())
+    members = join_counted(component, of, "component", "m", ["node"], component.count())
     per_node = classes.select("node", "least", "copies").join(members.select("node", "class_least").join(counts, "node"), "node", "left")
     per_node = materialise(per_node.select("node", "copies", F.coalesce("class_least", "least").alias("class_id"), F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("docs", F.lit(0)).alias("docs")), "classes-linked")
-    out = join_counted(feats.select("doc_id", "node"), per_node, "node", "copies", "doc_id", feats.count())
+    out = join_counted(feats.select("doc_id", "node"), per_node, "node", "copies", ["doc_id"], feats.count())
     return out.select("doc_id", "class_id", (F.col("docs") + F.col("copies") - 1).alias("n_links"), F.col("texts").alias("n_linked_texts"), F.col("copies").alias("n_copies"))

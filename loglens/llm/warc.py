@@ -85,7 +85,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     own = packed.join(ids, ["has_id", "k", "sha256"]).dropDuplicates(["has_id", "k", "sha256"])
     own.select("sha256", "packed", "records").write.option("compression", "none").parquet(archive.payloads)
 
-    linked = join_counted(light, winners, "sha256", "records", "number", light.count())
+    linked = join_counted(light, winners, "sha256", "records", ["number"], light.count())
     revisit = (F.col("bytes") >= least) & ~F.col("id").eqNullSafe(F.col("first_id"))
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(LINE))
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
@@ -163,7 +163,7 @@ def _rebuilt(spark: SparkSession, archive: Archive, of: Callable[[bytes, bytes],
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
     own = spark.read.schema("header binary, sha256 string").parquet(archive.records)
-    joined = join_counted(own, _stored(spark, archive), "sha256", "records", "header", own.count())
+    joined = join_counted(own, _stored(spark, archive), "sha256", "records", ["header"], own.count())
     return joined.select("header", "sha256", "packed").mapInArrow(run, schema)
 
 
