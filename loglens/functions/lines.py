@@ -36,6 +36,26 @@ def json_string(raw: Column, key: str, most: int | None = None) -> Column:
     return F.when(F.octet_length(raw) <= most, value).when(F.octet_length(value) <= most, value)
 
 
+def json_level_start(raw: Column) -> Column:
+    """Where the value of the top-level ``level`` of a JSON line starts, 0-based; null if there is none.
+
+    A line is cut behind every ``"level":"``; the braces and brackets outside strings tell how deep each cut is.
+    """
+    parts = F.split(F.regexp_replace(raw, r'("level"\s*:\s*")', "$1\x00"), "\x00", -1)
+
+    def deeper(text: Column) -> Column:
+        bare = F.regexp_replace(text, r'(?s)"(?:[^"\\]|\\.)*+"', "")
+        return F.length(F.translate(bare, "}]", "")) - F.length(F.translate(bare, "{[", ""))
+
+    def step(state: Column, part: Column) -> Column:
+        depth = state["depth"] + deeper(F.when(state["n"] == 0, part).otherwise(F.concat(F.lit('"'), part)))  # a later part begins inside a value
+        n = state["n"] + F.length(part)
+        return F.struct(n.alias("n"), depth.alias("depth"), F.coalesce(state["at"], F.when(depth == 1, n)).alias("at"))
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"), F.lit(None).cast("int").alias("at"))
+    return F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, step)["at"]
+
+
 def line_format(raw: Column) -> Column:
     return F.when(raw.startswith("{"), "json").when(raw.startswith("["), "plain_bracketed").when(raw.rlike(LOGFMT_LEVEL), "plain_logfmt").otherwise("plain_unknown")
 
@@ -51,7 +71,7 @@ def analyse(raw: Column) -> Column:
     json_time = F.coalesce(*[extracted(v, TIME) for v in stamps])
     json, bracketed = raw.startswith("{"), raw.startswith("[")
     named = F.when(json, json_string(raw, "level")).when(bracketed, extracted(raw, BRACKET)).otherwise(extracted(raw, LOGFMT_LEVEL))
-    before = F.when(json, F.length(F.regexp_extract(raw, r'^(.*?"level"\s*:\s*")', 1))).when(bracketed, F.lit(1)).otherwise(F.length(F.regexp_extract(raw, r"(?s)^(.*?(?:^|[ \t])(?:level|severity|lvl)=)", 1)))
+    before = F.when(json, json_level_start(raw)).when(bracketed, F.lit(1)).otherwise(F.length(F.regexp_extract(raw, r"(?s)^(.*?(?:^|[ \t])(?:level|severity|lvl)=)", 1)))
     return F.struct(
         line_format(raw).alias("format"),
         parse_level(named).alias("level"),

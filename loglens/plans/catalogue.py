@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import keys, levels, lines, search
 from ..operators import crash, filters, grouping, journal, kernel, metrics, rules
 from ..sinks import jsonl, otlp
-from ..sources import sample
+from ..sources import journal_json, kmsg, sample, text
 from ..sources.sample import SQL_CRASHES, SQL_LINES, crash_lines, log_lines
 from ..sources.text import last_lines, paginate
 
@@ -74,10 +74,13 @@ def parse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _analysed(spark, sf_dir).select("line_no", "info.format", "info.level", "info.date", "info.time")
 
 
-@registered("parse_level_position", _WITH + "select line_no, cast(strpos(raw, named) - 1 as integer) as level_start, cast(strpos(raw, named) - 1 + length(named) as integer) as level_end from parsed where format in ('plain_bracketed', 'plain_logfmt')")
+_JSON_LEVEL = """'},"level":"'"""
+
+
+@registered("parse_level_position", _WITH + f"""select line_no, cast(place as integer) as level_start, cast(place + length(named) as integer) as level_end
+from (select *, case when format = 'json' then strpos(raw, {_JSON_LEVEL}) - 1 + length({_JSON_LEVEL}) else strpos(raw, named) - 1 end as place from parsed)""")
 def parse_level_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _analysed(spark, sf_dir).filter(F.col("info.format").isin("plain_bracketed", "plain_logfmt"))
-    return own.select("line_no", "info.level_start", "info.level_end")
+    return _analysed(spark, sf_dir).select("line_no", "info.level_start", "info.level_end")
 
 
 @registered("level_order", _WITH + "select line_no, level, cast(list_position(['Trace','Debug','Info','Warn','Error','Fatal','Panic'], level) - 1 as tinyint) as ordinal, level in ('Error','Fatal','Panic') as is_error from parsed where level is not null")
@@ -370,6 +373,52 @@ def otlp_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("pos", "time_ns", "severity", "body", F.filter("attributes", lambda a: a["key"] == "log.file.path")[0]["string_value"].alias("path"))
 
 
+# Queries over real files: the sample is written, then read back by the sources.
+def _text_files(spark: SparkSession, sf_dir: str, compression: str) -> DataFrame:
+    path = sample.scratch(spark, "text")
+    _lines(spark, sf_dir).select("raw").write.option("compression", compression).text(path)
+    return text.scan(spark, path).select("raw")
+
+
+@registered("source_text", _WITH + "select raw from parsed")
+def source_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_files(spark, sf_dir, "none")
+
+
+@registered("source_gzip", _WITH + "select raw from parsed")
+def source_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_files(spark, sf_dir, "gzip")
+
+
+@registered("source_numbered", _WITH + "select count(*) as n_lines, cast(count(distinct raw) as bigint) as n_texts from parsed")
+def source_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of every file run from 0 without gaps; what is counted is the (file, number) pairs within these bounds."""
+    path = sample.scratch(spark, "numbered")
+    _lines(spark, sf_dir).select("raw").write.text(path)
+    numbered = text.scan_numbered(spark, path)
+    per_file = numbered.groupBy("file").agg(F.count_distinct("line_no").alias("n"), F.max("line_no").alias("last"))
+    whole = per_file.filter(F.col("last") == F.col("n") - 1).agg(F.sum("n").alias("n_lines"))
+    return whole.crossJoin(numbered.agg(F.count_distinct("raw").alias("n_texts")))  # one row each
+
+
+@registered("source_journal_json", f"select pos, case when message <> '' then message end as message, unit, identifier, priority from ({_JOURNAL_SQL}) where message <> ''")
+def source_journal_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = sample.scratch(spark, "journal")
+    own = _from_events(spark, sf_dir, _JOURNAL).withColumn("realtime", (F.col("pos") * 1000).cast("string"))
+    named = F.struct(*[F.col(k).alias(v) for k, v in journal_json.FIELDS.items() if k in own.columns])
+    own.select(F.to_json(named).alias("line")).write.text(path)
+    found = journal_json.read(spark, path).filter("message <> ''")
+    return found.select(F.col("t_ms").alias("pos"), "message", "unit", "identifier", "priority")
+
+
+@registered("source_kmsg", f"select regexp_extract(record, '^[^;]*;([^\n]*)', 1) as message, cast(length(record) > strpos(record, chr(10)) and strpos(record, chr(10)) > 0 as boolean) as continued from ({_KERNEL_SQL})")
+def source_kmsg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = sample.scratch(spark, "kmsg")
+    _from_events(spark, sf_dir, _KERNEL).select("record").write.text(path)
+    found = kmsg.read(spark, path)
+    return found.select(lines.kmsg_message(F.col("record")).alias("message"), F.col("record").contains("\n").alias("continued"))
+
+
 # The service's state machine over journal entries has no SQL form; tests hold it against plain expectations.
 @registered("journal_crashes", None)
 def journal_crashes(spark: SparkSession, sf_dir: str) -> DataFrame:

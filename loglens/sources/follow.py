@@ -18,6 +18,8 @@ from pyspark.sql.types import StructType
 
 SCHEMA = "file string, line_no bigint, raw string, event string"
 MOST_BYTES = 4 << 20
+#: Bytes read at a time when the last line end of a file is looked for.
+BLOCK = 64 << 10
 
 
 class Stretch(InputPartition):
@@ -42,12 +44,17 @@ class FollowReader(DataSourceStreamReader):
         return {"files": json.dumps(own)}
 
     def _whole(self, path: str, start: int, end: int) -> int:
-        """The end of the last whole line between two places; a line longer than the limit is taken in parts."""
+        """The end of the last whole line between two places, found from the end backwards; a line longer than the limit is taken in parts."""
         with open(path, "rb") as f:
-            f.seek(start)
-            data = f.read(end - start)
-        cut = data.rfind(b"\n") + 1
-        return start + (cut or (len(data) if len(data) >= self.most else 0))
+            at = end
+            while at > start:
+                begin = max(start, at - BLOCK)
+                f.seek(begin)
+                cut = f.read(at - begin).rfind(b"\n")
+                if cut >= 0:
+                    return begin + cut + 1
+                at = begin
+        return end if end - start >= self.most else start
 
     def latestOffset(self) -> dict:
         known = getattr(self, "_last", None) or json.loads(self.initialOffset()["files"])

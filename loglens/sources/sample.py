@@ -5,6 +5,8 @@ The same expressions serve Spark and DuckDB (but for time formats), so queries c
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 _PARTS = {
@@ -56,3 +58,13 @@ def crash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, line_no, service, t_ms, raw): the log of three services, with a crash and its stack trace for each fatal event."""
     own = events_table(spark, sf_dir).selectExpr("event_id", "user_id", "ts", f"explode(sequence(0, cast({_LAST} as int))) as k")
     return own.selectExpr(*expressions(_CRASH, "string"), "unix_millis(cast(ts as timestamp)) + k as t_ms")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder for files of the sample, below ``spark.checkpoint.dir``, which every executor of a cluster shares."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "/tmp/checkpoints"
+    return f"{base.rstrip('/')}/sample-{name}-{uuid.uuid4().hex}"

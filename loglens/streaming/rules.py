@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import signature_text
+from ..functions.keys import SIGNATURE_BYTES, signature_text
 from ..functions.levels import is_error
+from ..functions.lines import truncate_bytes
 from ..operators.rules import BUCKETS, Threshold
 
 
@@ -31,4 +32,4 @@ def error_rate_stream(lines: DataFrame, threshold: Threshold, delay: str = "10 s
 
 def first_seen_stream(lines: DataFrame) -> DataFrame:
     """The first error line of each signature; what has been seen is kept in the state store."""
-    return lines.filter(is_error(F.col("level"))).withColumn("sig", F.xxhash64(signature_text(F.col("raw")))).dropDuplicates(["sig"])
+    return lines.filter(is_error(F.col("level"))).withColumn("sig", F.xxhash64(signature_text(truncate_bytes(F.col("raw"), SIGNATURE_BYTES)))).dropDuplicates(["sig"])

@@ -132,3 +132,11 @@ def test_truncate_bytes(spark):
 
 def test_kmsg_message(spark):
     assert one(spark, ["6,1,2,-;hello\n K=v", "none", "6;", "6;a;b"], lines.kmsg_message(F.col("x"))) == ["hello", None, None, "a;b"]
+
+
+def test_position_of_a_json_level(spark):
+    rows = ['{"ctx":{"level":"debug"},"level":"error"}', '{"level":"warn"}', '{"a":[{"level":"x"},{"b":{"level":"y"}}], "level" : "info", "c":{"level":"z"}}', '{"msg":"say \\"level\\":\\"x\\" {[","level":"fatal"}', '{"ctx":{"level":"debug"}}', '{"level":5}', '{"m":"}}","level":"panic"}', '{"level":"odd one"}']
+    got = spark.createDataFrame([(r,) for r in rows], "raw string").select("raw", lines.analyse(F.col("raw")).alias("i")).select("raw", "i.level", "i.level_start", "i.level_end").collect()
+    said = [None if r["level_start"] is None else r["raw"][r["level_start"] : r["level_end"]] for r in got]
+    assert said == ["error", "warn", "info", "fatal", None, None, "panic", "odd one"]
+    assert [r["level"] for r in got] == ["Error", "Warn", "Info", "Fatal", None, None, "Panic", None]

@@ -160,3 +160,16 @@ def test_follow_stream(spark, tmp_path):
     finally:
         query.stop()
     assert found == [("[error] a #", 2)]
+
+
+def test_last_line_end_is_found_backwards(tmp_path, monkeypatch):
+    from loglens.sources import follow
+
+    monkeypatch.setattr(follow, "BLOCK", 7)
+    path = tmp_path / "a.log"
+    for data in (b"", b"x", b"x\n", b"one\ntwo\nthree without an end", b"\n" * 20, b"y" * 50, b"a\n" + b"z" * 60):
+        path.write_bytes(data)
+        reader = follow.FollowReader({"path": str(path), "maxBytesPerFile": "55"})
+        for start in range(0, len(data) + 1, 3):
+            cut = data.rfind(b"\n", start) + 1
+            assert reader._whole(str(path), start, len(data)) == (cut or (len(data) if len(data) - start >= 55 else start))
