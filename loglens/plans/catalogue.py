@@ -78,9 +78,9 @@ _JSON_LEVEL = """'},"level":"'"""
 
 
 @registered("parse_level_position", _WITH + f"""select line_no, cast(place as integer) as level_start, cast(place + length(named) as integer) as level_end
-from (select *, case when format = 'json' then strpos(raw, {_JSON_LEVEL}) - 1 + length({_JSON_LEVEL}) else strpos(raw, named) - 1 end as place from parsed)""")
+from (select *, case when format = 'json' then strpos(raw, {_JSON_LEVEL}) - 1 + length({_JSON_LEVEL}) else strpos(raw, named) - 1 end as place from parsed where named is not null)""")
 def parse_level_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _analysed(spark, sf_dir).select("line_no", "info.level_start", "info.level_end")
+    return _analysed(spark, sf_dir).filter(F.col("info.level_start").isNotNull()).select("line_no", "info.level_start", "info.level_end")
 
 
 @registered("level_order", _WITH + "select line_no, level, cast(list_position(['Trace','Debug','Info','Warn','Error','Fatal','Panic'], level) - 1 as tinyint) as ordinal, level in ('Error','Fatal','Panic') as is_error from parsed where level is not null")
