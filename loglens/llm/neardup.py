@@ -47,7 +47,7 @@ SKETCH = 128
 #: Sketches this far (in standard errors) below the threshold rule a pair out.
 SLACK = 6.0
 #: Classes in a block of stage 3, on average, and at most in one of stage 4.
-BLOCK, PART = 512, 128
+BLOCK, PART = 1024, 128
 RECALL = 0.99999
 #: Ids that may be broadcast (8 MB); more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -275,62 +275,51 @@ def candidates(classes: DataFrame, bands: int, threshold: float = THRESHOLD) ->
     low = F.transform("bands", lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int")).alias("low")
     rows = _blocked(shared_bands(classes, bands).join(classes.select("node", "size", low, "sketch"), "node"))
 
+    def laid(batch: pa.RecordBatch, edges: list[tuple[int, int]], low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The rows of pairs that are left, of the groups of a batch."""
+        if not len(low):
+            return
+        group = np.searchsorted(np.array([a for a, _ in edges]), low, "right") - 1
+        cut = np.flatnonzero(np.diff(group, prepend=-1))
+        at, part, pos, mask = [], [], [], []
+        for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(group)], strict=True):
+            a, b = edges[int(group[x])]
+            link = np.zeros((b - a, b - a), dtype=bool)
+            link[low[x:y] - a, high[x:y] - a] = True
+            for number, place, where, bits in parts_of(link | link.T):
+                at.append(place + a)
+                part.append(np.full(len(place), number, np.int32))
+                pos.append(where.astype(np.int32))
+                mask.extend(r.tobytes() for r in bits)
+        taken = batch.select([*KEYS, "node"]).take(pa.array(np.concatenate(at)))
+        yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in KEYS), pa.array(np.concatenate(part)), pa.array(np.concatenate(pos)), taken.column("node"), pa.array(mask, pa.binary())], [*PARTS, "pos", "node", "mask"])
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches, KEYS):
             g = _Group(batch, floor, threshold)
             same = batch.column("bi").to_numpy() == batch.column("bj").to_numpy()
             edges = _edges(batch, KEYS)
-            start = np.array([a for a, _ in edges])
-            small: list[tuple[np.ndarray, np.ndarray]] = []
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-
-            def decide(pairs: list[tuple[np.ndarray, np.ndarray]], first: bool) -> None:
-                low, high = (np.concatenate(x) for x in zip(*pairs, strict=True))
-                if first:
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            count = 0
+            # The pairs of one large group, or of some small ones, are held at a time.
+            for a, b in [*edges, (0, 0)]:
+                if b - a > SMALL:
+                    low, high = g.pairs_of(a, b, bool(same[a]))
+                    own = g.alike(low, high)
+                    yield from laid(batch, edges, low[own], high[own])
+                elif b - a > 1:
+                    i, j = _pairs(g.own[a:b], bool(same[a]))
+                    held.append((i + a, j + a))
+                    count += len(i)
+                if held and (count > 1 << 17 or b == 0):
+                    low, high = (np.concatenate(x) for x in zip(*held, strict=True))
                     own = g.first_here(low, high)
                     low, high = low[own], high[own]
-                own = g.alike(low, high)
-                found.append((low[own], high[own]))
-                pairs.clear()
-
-            held = 0
-            for a, b in edges:
-                if b - a < 2:
-                    continue
-                if b - a > SMALL:
-                    decide([g.pairs_of(a, b, bool(same[a]))], False)
-                    continue
-                i, j = _pairs(g.own[a:b], bool(same[a]))
-                small.append((i + a, j + a))
-                held += len(i)
-                if held > 1 << 17:
-                    decide(small, True)
-                    held = 0
-            if small:
-                decide(small, True)
-            if not found:
-                continue
-            low, high = (np.concatenate(x) for x in zip(*found, strict=True))
-            group = np.searchsorted(start, low, "right") - 1
-            order = np.argsort(group, kind="stable")
-            low, high, group = low[order], high[order], group[order]
-            if not len(group):
-                continue
-            cut = np.flatnonzero(np.diff(group, prepend=-1))
-            at, part, pos, mask = [], [], [], []
-            for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(group)], strict=True):
-                a, b = edges[int(group[x])]
-                link = np.zeros((b - a, b - a), dtype=bool)
-                link[low[x:y] - a, high[x:y] - a] = True
-                for number, place, where, bits in parts_of(link | link.T):
-                    at.append(place + a)
-                    part.append(np.full(len(place), number, np.int32))
-                    pos.append(where.astype(np.int32))
-                    mask.extend(r.tobytes() for r in bits)
-            taken = batch.select([*KEYS, "node"]).take(pa.array(np.concatenate(at)))
-            yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in KEYS), pa.array(np.concatenate(part)), pa.array(np.concatenate(pos)), taken.column("node"), pa.array(mask, pa.binary())], [*PARTS, "pos", "node", "mask"])
-
-    ordered = rows.repartition(*KEYS).sortWithinPartitions(*KEYS)
+                    own = g.alike(low, high)
+                    yield from laid(batch, edges, low[own], high[own])
+                    held, count = [], 0
+
+    ordered = rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "own")
     return ordered.select("node", "size", "low", "sketch", "own", *KEYS).mapInArrow(find, "band long, bi int, bj int, part int, pos int, node binary, mask binary")
 
 
@@ -377,12 +366,12 @@ def verify(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches, PARTS):
-            grams, node, mask = batch.column("grams").to_pylist(), batch.column("node"), batch.column("mask").to_pylist()
+            grams, node, mask = batch.column("grams"), batch.column("node"), batch.column("mask")
             copies, pos = batch.column("copies").to_numpy(), batch.column("pos").to_numpy()
             texts, docs, root = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64), np.arange(len(node))
             for a, b in _edges(batch, PARTS):
-                sets = [unpacked(g) for g in grams[a:b]]
-                link = np.unpackbits(np.frombuffer(b"".join(mask[a:b]), np.uint8).reshape(b - a, -1), axis=1)[:, pos[a:b]]
+                sets = [unpacked(g.as_buffer()) for g in grams.slice(a, b - a)]
+                link = np.unpackbits(np.frombuffer(b"".join(mask.slice(a, b - a).to_pylist()), np.uint8).reshape(b - a, -1), axis=1)[:, pos[a:b]]
                 low, high = np.nonzero(np.triu(link, 1))
                 size = np.array([len(s) for s in sets])
                 common = common_grams(sets, low, high)
