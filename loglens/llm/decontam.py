@@ -44,6 +44,8 @@ WINDOW, STEP = 72, 1
 BLOCK_BYTES = 1 << 23
 #: Pairs of equal q-grams that are held at a time.
 MOST_HITS = 1 << 21
+#: Bytes of a pattern up to which a quick search goes before the alignment.
+MOST_BITS = 512
 #: Bytes that make up words: ASCII letters and digits, and all beyond ASCII.
 IS_WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 LEAKS = "array<struct<item_id:bigint,edits:int,start:bigint,length:bigint,share:double>>"
@@ -79,6 +81,28 @@ def align(item: bytes, text: bytes, first: int, last: int, budget: int) -> tuple
     return (int(cost[best]), int(diagonal[best]) + len(p)) if cost[best] <= budget else None
 
 
+def stands(item: bytes, text: bytes, budget: int) -> bool:
+    """Whether the whole item is anywhere in the text within the budget, on any diagonal (bits of a column at a time)."""
+    bits: dict[int, int] = {}
+    for k, c in enumerate(item):
+        bits[c] = bits.get(c, 0) | 1 << k
+    full, top, cost = (1 << len(item)) - 1, 1 << len(item) - 1, len(item)
+    up, down = full, 0  # where a cost is one above, or one below, that of the place before
+    for c in text:
+        same = bits.get(c, 0)
+        kept = ((((same & up) + up) ^ up) | same | down) & full
+        rise, fall = down | (full ^ (kept | up)), kept & up
+        if rise & top:
+            cost += 1
+        elif fall & top:
+            cost -= 1
+            if cost <= budget:
+                return True
+        rise, fall = rise << 1 & full, fall << 1 & full
+        up, down = fall | (full ^ (kept | rise)), rise & kept
+    return cost <= budget
+
+
 def locate(item: bytes, text: bytes, first: int, last: int, budget: int) -> tuple[int, int, int] | None:
     """(edits, start, length) of the best place, its start from an alignment backwards from its end."""
     found = align(item, text, first, last, budget)
@@ -135,7 +159,7 @@ class Index:
         self.first = np.flatnonzero(np.diff(h, prepend=~h[:1])) if len(h) else np.zeros(0, np.int64)
         self.distinct, self.times = h[self.first], np.diff(self.first, append=len(h)).astype(np.int32)
         self.first = self.first.astype(np.int32)
-        bits = int(min(26, max(16, len(h).bit_length() + 2)))
+        bits = int(min(26, max(16, len(h).bit_length() + 4)))
         self.high = np.uint64(64 - bits)
         self.seen = np.zeros(1 << bits, dtype=bool)
         self.seen[(self.distinct >> self.high).astype(np.int64)] = True
@@ -172,7 +196,10 @@ class Index:
             return 0, main, len(pattern)
         low, high = int(values[0]) - budget, int(values[-1]) + budget
         cut = max(0, low)
-        got = locate(pattern, text[cut : high + len(pattern) + budget], low - cut, high - cut, budget)
+        around = text[cut : high + len(pattern) + budget]
+        if len(pattern) <= MOST_BITS and not stands(pattern, around, budget):
+            return None  # most candidates end here, at a fifth of the cost of an alignment
+        got = locate(pattern, around, low - cut, high - cut, budget)
         return got and (got[0], got[1] + cut, got[2])
 
     def _search_short(self, texts: list[bytes], data: np.ndarray, off: np.ndarray, found: list[dict]) -> None:
@@ -220,7 +247,7 @@ class Index:
         data = np.frombuffer(b"".join(t for t, _, _ in spans), dtype=np.uint8)
         off = np.concatenate([[0], np.cumsum([len(t) for t, _, _ in spans])]).astype(np.int64)
         h = grams_at(data, self.q)
-        at = np.flatnonzero(self.seen[h >> self.high])
+        at = np.flatnonzero(self.seen[(h >> self.high).view(np.int64)])
         if not len(at) or not len(self.distinct):
             return
         row = np.minimum(np.searchsorted(self.distinct, h[at]), len(self.distinct) - 1)

@@ -569,6 +569,7 @@ def test_alignment_stays_in_its_band():
         got = decontam.align(item, text, -len(item), len(text), len(item))
         assert got and got[0] == d
         assert decontam.align(item, text, -len(item), len(text), d - 1) is None
+        assert decontam.stands(item, text, d) and not decontam.stands(item, text, d - 1)
 
 
 def test_queries_with_odd_tables(spark, tmp_path):
