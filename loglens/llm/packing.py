@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from ._common import chunks, materialise
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, shard int, slot long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, shard int, slot long, nth long"
+#: Rows of (shard, length) that may be broadcast (16 MB as a table); more of them are joined by a shuffle.
+BROADCAST_STARTS = 1 << 18
 
 
 class FitTree:
@@ -150,24 +152,27 @@ def pieces(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], list[lis
     """Tokenise every whole text, close it with ``end_id`` and cut only what is longer than ``capacity``.
 
     Returns a row per piece: its document, number, start, length and the crc32 of its ids as little-endian
-    unsigned 32-bit numbers, with the ids themselves if ``with_ids``; (shard, slot) identify the piece.
+    unsigned 32-bit numbers, with the ids themselves if ``with_ids``; (shard, slot) identify the piece, and nth is
+    its place among the pieces of its length in its shard.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode, shard, slot = encoder(), TaskContext.get().partitionId(), 0
+        seen = np.zeros(capacity + 1, np.int64).tolist()
         for part in chunks(batches, text_col):
-            out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "slot", "ids")}
+            out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "slot", "nth", "ids")}
             for doc, ids in zip(part.column(id_col).to_pylist(), encode([t or "" for t in part.column(text_col).to_pylist()]), strict=True):
                 ids.append(end_id)
                 for n, (start, own) in enumerate(cut(ids, capacity)):
-                    for k, v in zip(out, (doc, n, start, len(own), zlib.crc32(np.asarray(own, "<u4").tobytes()), slot, own if with_ids else None), strict=True):
+                    for k, v in zip(out, (doc, n, start, len(own), zlib.crc32(np.asarray(own, "<u4").tobytes()), slot, seen[len(own)], own if with_ids else None), strict=True):
                         out[k].append(v)
                     slot += 1
+                    seen[len(own)] += 1
             n = len(out["slot"])
-            arrays = [pa.array(out["doc_id"], pa.int64()), pa.array(out["piece"], pa.int32()), *(pa.array(out[k], pa.int64()) for k in ("start", "length", "ids_crc32")), pa.array([shard] * n, pa.int32()), pa.array(out["slot"], pa.int64())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "shard", "slot"]
+            arrays = [pa.array(out["doc_id"], pa.int64()), pa.array(out["piece"], pa.int32()), *(pa.array(out[k], pa.int64()) for k in ("start", "length", "ids_crc32")), pa.array([shard] * n, pa.int32()), pa.array(out["slot"], pa.int64()), pa.array(out["nth"], pa.int64())]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "shard", "slot", "nth"]
             if with_ids:
                 arrays.append(pa.array(out["ids"], pa.list_(pa.int32())))
                 names.append("ids")
@@ -180,12 +185,20 @@ def pieces(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], list[lis
 def pack(items: DataFrame, capacity: int = 1024) -> DataFrame:
     """Give each piece (columns length, shard, slot, and others that are kept) a sequence_id and an offset.
 
-    ``items`` is read twice and must be stable (written or checkpointed).  Ranks within a length come from
-    counts by (length, shard), a table of at most ``capacity`` rows for each input partition.
+    ``items`` is read twice and must be stable (written or checkpointed).  A column nth, the place of a piece among those
+    of its length in its shard, is worked out by a window over slot if it is missing.  With it, a piece is placed where it
+    stands: only counts by (length, shard) are shuffled, at most ``capacity`` for each input partition, and joined back;
+    pieces move only if these counts are too many to be sent out.
     """
+    names = [c for c in items.columns if c not in ("shard", "slot", "nth", "sequence_id", "offset")]
+    if "nth" not in items.columns:
+        items = items.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "length").orderBy("slot")) - 1)
     counts = items.groupBy("length", "shard").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("length", "first"))).alias("firsts"))
+    starts = materialise(counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))), "starts")
+    counts, starts = starts, starts.drop("n")
+    if counts.count() <= BROADCAST_STARTS:
+        starts = F.broadcast(starts)
     total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     placed: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     for length, rank, _, first, offset in plan(total, capacity):
@@ -193,33 +206,26 @@ def pack(items: DataFrame, capacity: int = 1024) -> DataFrame:
         for side, v in zip(placed[length], (rank, first, offset), strict=True):
             side.append(v)
     placed = {k: tuple(np.asarray(x, np.int64) for x in v) for k, v in placed.items()}
-    names = [c for c in items.columns if c not in ("shard", "slot", "sequence_id", "offset")]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], int] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            length, shard = (batch.column(c).to_numpy() for c in ("length", "shard"))
-            first = batch.column("first").to_numpy()
+            length, every = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             seq, off = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
-            key = shard.astype(np.int64) * (capacity + 1) + length
-            order = np.argsort(key, kind="stable")
-            edges = np.flatnonzero(np.diff(key[order], prepend=-1))
+            order = np.argsort(length, kind="stable")
+            edges = np.flatnonzero(np.diff(length[order], prepend=-1))
             for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
                 at = order[a:b]
-                k = (int(shard[at[0]]), int(length[at[0]]))
-                rank = first[at[0]] + seen.get(k, 0) + np.arange(b - a)
-                seen[k] = seen.get(k, 0) + int(b - a)
-                ranks, firsts, offsets = placed[k[1]]
+                rank = every[at]
+                ranks, firsts, offsets = placed[int(length[at[0]])]
                 row = np.searchsorted(ranks, rank, "right") - 1
                 seq[at], off[at] = firsts[row] + rank - ranks[row], offsets[row]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
 
-    with_first = items.join(starts, "shard").withColumn("first", F.element_at("firsts", F.col("length")))
-    ordered = with_first.repartition("shard").sortWithinPartitions("shard", "slot")
+    ranked = items.join(starts, ["shard", "length"]).withColumn("rank", F.col("first") + F.col("nth"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields if f.name in names)
-    return ordered.select(*names, "shard", "first").mapInArrow(place, f"{kept}, sequence_id long, offset long")
+    return ranked.select(*names, "rank").mapInArrow(place, f"{kept}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], list[list[int]]]], capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
