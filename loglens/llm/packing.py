@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._common import chunks, materialise
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, shard int, slot long, nth long"
-#: Rows of (shard, length) that may be broadcast (16 MB as a table); more of them are joined by a shuffle.
+#: Rows of (shard, length) that may be broadcast (about 150 bytes each, so 40 MB); more of them are joined by a shuffle.
 BROADCAST_STARTS = 1 << 18
 
 

@@ -104,7 +104,9 @@ def test_empty_table(spark):
     assert packing.pack_documents(documents(spark, []), BPE).count() == 0
 
 
-def test_pack_over_many_partitions(spark):
+@pytest.mark.parametrize("sent_out", [packing.BROADCAST_STARTS, 0])
+def test_pack_over_many_partitions(spark, monkeypatch, sent_out):
+    monkeypatch.setattr(packing, "BROADCAST_STARTS", sent_out)
     items = spark.range(0, 3000, 1, 13).selectExpr("id % 60 + 1 as length", "spark_partition_id() as shard", "id as slot", "id as keep")
     got = packing.pack(materialise(items, "t"), 64).toPandas()
     assert sorted(got["keep"]) == list(range(3000))
