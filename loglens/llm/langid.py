@@ -28,8 +28,6 @@ PROFILE = 400
 UNKNOWN = "und"
 #: Most languages; a column with more distinct values is refused, not cut.  There are about 8,000 language codes.
 MOST_LANGUAGES = 10_000
-#: Rows from which the least scores of languages are taken.
-FLOOR_ROWS = 20_000
 #: Distances, texts times languages, that are held at a time.
 MOST_CELLS = 1 << 22
 #: Bytes of text handled at a time: the arrays made of them fit a core's cache.
@@ -182,10 +180,8 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", keep:
     return own.mapInArrow(run, StructType([*own.schema.fields[: len(keep)], StructField(into[0], StringType()), StructField(into[1], DoubleType())]))
 
 
-def least_scores(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_col: str = "lang", sample: int = FLOOR_ROWS) -> dict[str, float]:
-    """For each language the least score that texts of it get, in a sample by hash of about ``sample`` rows with a text and a language."""
+def least_scores(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
+    """For each language the least score that texts of it get, over all rows with a text and a language."""
     own = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    n = own.count()
-    some = own.filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30)))
-    found = identify(some, profiles, "text", ("lang",), ("_found", "_score"))
+    found = identify(own, profiles, "text", ("lang",), ("_found", "_score"))
     return {r["lang"]: r["least"] for r in found.filter("lang = _found").groupBy("lang").agg(F.min("_score").alias("least")).collect()}  # a row for each language

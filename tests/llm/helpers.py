@@ -35,3 +35,14 @@ def folder(spark, tmp_path, **tables) -> str:
     for name, df in tables.items():
         df.write.parquet(str(out / f"{name}.parquet"))
     return str(out)
+
+
+def languages_with_a_rare_text() -> list[tuple[str, str, bool]]:
+    """(text, language, whether rare): 12 languages of letters of their own, each of 3,000 texts alike and one that is half in other letters."""
+    rows = []
+    for k in range(12):
+        letter = [chr(0x4E00 + 100 * k + j) for j in range(60)]
+        base = " ".join("".join(letter[(7 * w + 3 * j) % 20] for j in range(2 + w % 4)) for w in range(12))
+        rows += [(f"{base} {letter[i % 20]}{letter[i // 20 % 20]}{letter[i // 400 % 20]}", f"l{k}", False) for i in range(3_000)]
+        rows.append((base[: len(base) // 2] + " " + " ".join("".join(letter[20 + (11 * w + j) % 40] for j in range(3)) for w in range(7)), f"l{k}", True))
+    return rows

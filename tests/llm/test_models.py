@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from loglens.llm import langid, lm, quality, queries
 from loglens.llm._common import bucket_of, text_bytes
 
-from .helpers import SMALL, documents, folder, odd_documents
+from .helpers import SMALL, documents, folder, languages_with_a_rare_text, odd_documents
 
 MIDDLE = "/root/testdata/sf0.01"
 
@@ -193,6 +193,20 @@ def test_language_on_held_out_rows(spark):
     assert (x["lang"] == x["lang_pred"]).mean() > 0.98
 
 
+def test_least_scores_are_of_all_training_texts(spark):
+    rows = languages_with_a_rare_text()
+    odd = [(None, "l0"), ("nothing of a language", None), ("", "l0"), ("123", "l1")]
+    docs = spark.createDataFrame([*[r[:2] for r in rows], *odd], "text string, lang string").repartition(3)
+    profiles = langid.learn(docs)
+    found, score = profiles.predict([r[0] for r in rows])
+    want: dict[str, float] = {}
+    for (_, lang, _), f, s in zip(rows, found, score.tolist(), strict=True):
+        if f == lang:
+            want[lang] = min(s, want.get(lang, 1.0))
+    assert len(want) == 12 and langid.least_scores(docs, profiles) == want
+    assert langid.least_scores(docs.limit(0), profiles) == {}
+
+
 @pytest.mark.parametrize("clash", [False, True])
 def test_language_odd_inputs(spark, clash):
     docs = documents(spark, clash=clash)

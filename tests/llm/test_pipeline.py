@@ -15,7 +15,7 @@ import corpus_pipeline
 from loglens.llm import decontam, neardup
 from loglens.llm._common import materialise
 
-from .helpers import SMALL, documents, folder, odd_documents
+from .helpers import SMALL, documents, folder, languages_with_a_rare_text, odd_documents
 from .test_neardup import grams
 
 MIDDLE = "/root/testdata/sf0.01"
@@ -98,6 +98,13 @@ def test_languages_that_were_not_learned_go(spark, tmp_path):
     assert kept.filter("doc_id < 0").count() == 0 and kept.count() == docs.count()
 
 
+def test_language_keeps_every_text_it_learned_from(spark):
+    ids = iter(i for i in range(100_000) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(next(ids), t, lang, "s", len(t)) for t, lang, _ in languages_with_a_rare_text()]
+    kept = dict(corpus_pipeline.STAGES)["language"](spark, documents(spark, rows).repartition(3), SMALL)
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {r[0] for r in rows}
+
+
 @pytest.mark.parametrize("rows", [[], None])
 def test_odd_and_empty_tables(spark, tmp_path, rows):
     docs = documents(spark, rows, clash=True)
